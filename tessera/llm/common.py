@@ -44,10 +44,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    What the write shuffled is then needed no more; collecting the driver's
+    garbage lets Spark delete those files now, not at some later time.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def remove(spark: SparkSession, *tables: DataFrame | str) -> None:
@@ -177,6 +185,57 @@ def by_size(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES
         yield batch.slice(at)
 
 
+#: Bits of a membership filter: those for each key, up to a most (so 8 MB).
+FILTER_BITS_A_KEY, FILTER_MOST_BITS, FILTER_PROBES, FILTER_PIECE = 16, 1 << 26, 4, 1 << 16
+
+
+def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(keys.view(np.uint64))
+    step = mix(h) | np.uint64(1)
+    return np.stack([(h + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(FILTER_PROBES)])
+
+
+def with_members(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """The rows whose ``key`` (a long) may be among the members', by a Bloom filter.
+
+    It spares a later join the shuffle of most other rows and loses none that
+    match. Its size is bounded; beyond that many members it lets more rows by.
+    """
+    spark = rows.sparkSession
+    n = members.count()
+    bits = 1 << max(16, min(FILTER_MOST_BITS, max(1, n) * FILTER_BITS_A_KEY - 1).bit_length())
+    bits = min(bits, FILTER_MOST_BITS)
+    at = rows.columns.index(key)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            mine[_probes(np.asarray(batch.column(0)), bits).ravel()] = True
+        packed = np.packbits(mine)
+        pieces = [packed[i : i + FILTER_PIECE] for i in range(0, len(packed), FILTER_PIECE)]
+        used = [i for i, x in enumerate(pieces) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pieces[i].tobytes() for i in used], pa.binary())], names=["piece", "bits"])
+
+    def either(table: pa.Table) -> pa.Table:
+        all_bits = np.bitwise_or.reduce(np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1), axis=0)
+        return pa.table({"piece": table.column("piece")[:1].cast(pa.int32()), "bits": pa.array([all_bits.tobytes()], pa.binary())})
+
+    pieces = members.select(key).mapInArrow(fold, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").collect()  # `bits` / 8 bytes
+    packed = np.zeros(max(bits // 8, 1), dtype=np.uint8)
+    for r in pieces:
+        packed[r["piece"] * FILTER_PIECE : (r["piece"] + 1) * FILTER_PIECE] = np.frombuffer(r["bits"], dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(packed)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            probe = _probes(np.asarray(batch.column(at)), bits).astype(np.int64)
+            hit = ((table[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8)) & 1).all(axis=0)
+            yield batch.filter(pa.array(hit))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, whatever else the table carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -192,7 +192,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 keep = [i for i, r in enumerate(right) if r]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["rep", "values"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("merge"), "rep")
+    rows = common.with_members(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null"), "rep", wanted).join(wanted.hint("merge"), "rep")
     return rows.select("rep", "s1", "text").mapInArrow(run, "rep long, values binary").dropDuplicates(["rep"])
 
 

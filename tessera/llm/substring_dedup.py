@@ -207,14 +207,18 @@ def find_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, bat
         index.add(anchors.where(F.pmod("ta", F.lit(batches)) == b).select("fp", F.col("copies").cast("long").alias("n")))
         index.compact()
     marked = anchors.join(index.repeated(), "fp").groupBy("k", "ta", "copies").agg(F.collect_set("fp").alias("repeated"))
-    candidates = common.save(docs.select(*identity(), "text").join(marked.hint("merge"), ["k", "ta"]), "candidates")
-    common.remove(spark, anchors)
-    windows = common.save(_candidate_windows(candidates, window, gram), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n >= 2").select("w1", "w2")
+    marked = common.save(marked, "marked")
+    common.remove(spark, anchors, *[r for _, r in index.runs])
+    likely = common.with_members(docs.select(*identity(), "text"), "ta", marked)
+    candidates = common.save(likely.join(marked.hint("merge"), ["k", "ta"]), "candidates")
+    common.remove(spark, marked)
+    # The windows are hashed twice from the few candidates rather than written out.
+    twice = common.save(_candidate_windows(candidates, window, gram).groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n >= 2").select("w1", "w2"), "twice")
     single = candidates.where("copies = 1")
-    hits = windows.join(candidates.where("copies = 1").select("k", "ta").distinct(), ["k", "ta"], "left_semi").join(twice.hint("merge"), ["w1", "w2"]).groupBy("k", "ta").agg(F.collect_set("w1").alias("w"))
+    hits = common.save(_candidate_windows(single, window, gram).select("k", "ta", "w1", "w2").join(twice.hint("merge"), ["w1", "w2"]).groupBy("k", "ta").agg(F.collect_set("w1").alias("w")), "hits")
+    common.remove(spark, twice)
     cuts = common.save(_cut(single.join(hits, ["k", "ta"]), window), "cuts")
-    common.remove(spark, candidates, windows, *[r for _, r in index.runs])
+    common.remove(spark, candidates, hits)
     counts = facts.groupBy("ta", "tb").agg(F.count(F.lit(1)).alias("copies"))
     return facts.select("k", "ta", "tb", "n_words", "sha").join(counts, ["ta", "tb"]), cuts
 
