@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,13 @@ CHUNK_WORDS = 64
 CHUNKS, WORDS, LONGEST = 10_000, 250_000, 80
 
 
+def little_endian(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Generations(dict):
     """A bounded cache: when ``most`` entries are new, those before them are forgotten."""
 
@@ -71,9 +80,11 @@ class ChunkEncoder:
         self.words, self.chunks = Generations(WORDS), Generations(CHUNKS)
         self.joins_seen = self.joins_repaired = 0
 
+    def _encodings(self, texts: list[bytes]) -> list:
+        return self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+
     def _library(self, texts: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+        return [little_endian(e.ids) for e in self._encodings(texts)]
 
     def decode(self, ids: bytes) -> bytes:
         numbers = np.frombuffer(ids, dtype="<u4").tolist()
@@ -83,12 +94,17 @@ class ChunkEncoder:
 
     def _know(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
         """(ids, decoded) of each word; the new ones in one call of the library."""
-        got = {w: v for w in words if (v := self.words[w]) is not None}
-        new = [w for w in words if w not in got]
-        for w, ids in zip(new, self._library(new) if new else [], strict=True):
-            got[w] = (ids, self.decode(ids) if self.plain else b"")
+        got, new, cache = {}, [], self.words
+        for w in words:
+            v = cache[w]
+            if v is None:
+                new.append(w)
+            else:
+                got[w] = v
+        for w, e in zip(new, self._encodings(new) if new else [], strict=True):
+            v = got[w] = (little_endian(e.ids), " ".join(e.tokens).encode())  # an id's token is what decoding gives
             if len(w) <= LONGEST:
-                self.words.put(w, got[w])
+                cache.put(w, v)
         return got
 
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
