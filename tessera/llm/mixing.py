@@ -121,9 +121,9 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     budget, temper, rounds = how.get("budget", BUDGET), how.get("temper", TEMPER), how.get("rounds", ROUNDS)
     rows = described(docs)
     cells = common.save(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("present")).where("present > 0"), "cells")
-    rate = common.save(rates(rake(cells, targets, temper=temper, rounds=rounds), budget), "rates").select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS], "probability")
-    keyed = docs.select("*", *[c.alias(f"_{n}") for n, c in zip(DIMENSIONS, (F.coalesce("source", F.lit(NONE)), F.coalesce("lang", F.lit(NONE)), F.col("topic") if "topic" in docs.columns else topic_of(F.coalesce(F.col("text"), F.lit("")))), strict=True)])
-    return keyed.join(rate, [f"_{c}" for c in DIMENSIONS]).where(draw_of(F.col("doc_id")) < F.col("probability")).where(tokens_of(F.col("text")) > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rate = common.save(rates(rake(cells, targets, temper=temper, rounds=rounds), budget), "rates").select(*[F.col(c).alias(f"__{c}") for c in DIMENSIONS], F.col("probability").alias("__probability"))
+    keyed = docs.select("*", *[c.alias(f"__{n}") for n, c in zip(DIMENSIONS, (F.coalesce("source", F.lit(NONE)), F.coalesce("lang", F.lit(NONE)), F.col("topic") if "topic" in docs.columns else topic_of(F.coalesce(F.col("text"), F.lit("")))), strict=True)])
+    return keyed.join(rate, [f"__{c}" for c in DIMENSIONS]).where(draw_of(F.col("doc_id")) < F.col("__probability")).where(tokens_of(F.col("text")) > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(budget: float = BUDGET, temper: float = TEMPER, rounds: int = ROUNDS, digits: int = 6) -> str:

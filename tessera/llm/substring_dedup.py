@@ -245,9 +245,11 @@ def clean(docs: DataFrame, **how) -> DataFrame:
     facts, cuts = find_repeats(docs, **how)
     gone = facts.where((F.col("copies") > 1) & (F.col("n_words") >= window)).select("k", "ta", F.lit("").alias("kept"))
     change = gone.unionByName(cuts.where("n_removed > 0").select("k", "ta", "kept")).dropDuplicates(["k", "ta"])
-    keyed = docs.select("*", *identity()[:2])
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return keyed.join(change, ["k", "ta"], "left").select(*[F.coalesce("kept", "text").alias("text") if c == "text" else x for c, x in zip(docs.columns, own, strict=True)])
+    k, ta, _ = identity()
+    keyed = docs.select("*", k.alias("__k"), ta.alias("__ta"))
+    change = change.select(F.col("k").alias("__k"), F.col("ta").alias("__ta"), F.col("kept").alias("__kept"))
+    own = [F.coalesce("__kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return keyed.join(change, ["__k", "__ta"], "left").select(*own)
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple[int | None, int, int, str]]:

@@ -78,7 +78,8 @@ def build(terms: list[str]) -> Matcher:
         ends[node] = k if ends[node] < 0 or not t.endswith("*") else ends[node]
     spare = [-1] * len(children)  # the largest allowance among a node's terms
     for node in reversed(range(len(children))):
-        spare[node] = max([allowance(terms[ends[node]])] * (ends[node] >= 0) + [spare[c] for c in children[node].values()], default=-1)
+        own = [allowance(terms[ends[node]])] if ends[node] >= 0 else []
+        spare[node] = max(own + [spare[c] for c in children[node].values()], default=-1)
 
     def closed(states: dict[int, int]) -> frozenset:
         """Nodes with the fewest edits each, letters of terms left out included."""
