@@ -213,7 +213,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids = [np.frombuffer(i, dtype="<u4").astype(np.int64) for i, _ in got]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array([t.decode() for _, t in got], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return common.columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<long>, decoded string")
+    return common.columns_of(docs, "doc_id", "text").transform(common.map_arrow, run, "doc_id long, ids array<long>, decoded string")
 
 
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -230,4 +230,4 @@ def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return common.columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.columns_of(docs, "doc_id", "text").transform(common.map_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Odd multipliers of the polynomial hashes (mod 2**64) and of the mixer.
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -22,7 +23,7 @@ WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 #: Bytes of text that one round of array work takes, besides a longer word.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -220,7 +221,7 @@ def with_members(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
         all_bits = np.bitwise_or.reduce(np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1), axis=0)
         return pa.table({"piece": table.column("piece")[:1].cast(pa.int32()), "bits": pa.array([all_bits.tobytes()], pa.binary())})
 
-    pieces = members.select(key).mapInArrow(fold, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").collect()  # `bits` / 8 bytes
+    pieces = members.select(key).transform(map_arrow, fold, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").collect()  # `bits` / 8 bytes
     packed = np.zeros(max(bits // 8, 1), dtype=np.uint8)
     for r in pieces:
         packed[r["piece"] * FILTER_PIECE : (r["piece"] + 1) * FILTER_PIECE] = np.frombuffer(r["bits"], dtype=np.uint8)
@@ -233,7 +234,18 @@ def with_members(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
             hit = ((table[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8)) & 1).all(axis=0)
             yield batch.filter(pa.array(hit))
 
-    return rows.mapInArrow(keep, rows.schema)
+    return map_arrow(rows, keep, rows.schema)
+
+
+#: Bytes of a batch that Spark hands to Python, unless the session has its own bound.
+BATCH_BYTES, BATCH_BOUND = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes: 10,000 long texts at once fill an executor's memory."""
+    if df.sparkSession.conf.get(BATCH_BOUND, None) is None:
+        df.sparkSession.conf.set(BATCH_BOUND, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def columns_of(df: DataFrame, *names: str) -> DataFrame:

@@ -105,7 +105,7 @@ def fit(labelled: DataFrame, *, per_language: int = 300, clusters: int = 4, dims
                 got = gram_counts(part.column(0).to_pylist(), dims)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in got.astype(np.float32)], pa.binary())], names=["lang", "counts"])
 
-    got = sample.select("text", "lang").mapInArrow(vectors, "lang string, counts binary").toArrow()
+    got = sample.select("text", "lang").transform(common.map_arrow, vectors, "lang string, counts binary").toArrow()
     langs = np.array(got.column("lang").to_pylist())
     tf = np.frombuffer(b"".join(got.column("counts").to_pylist()), dtype=np.float32).reshape(-1, dims)
     order = np.lexsort((tf @ np.arange(1, dims + 1, dtype=np.float32), langs))  # the rows' order must not matter
@@ -151,4 +151,4 @@ def predict(docs: DataFrame, model: CentroidModel) -> DataFrame:
                 lang, score, far, rejected = classify(shared.value, [t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "distance", "rejected"])
 
-    return common.columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, distance double, rejected boolean")
+    return common.columns_of(docs, "doc_id", "text").transform(common.map_arrow, run, "doc_id long, lang_pred string, score double, distance double, rejected boolean")

@@ -192,7 +192,7 @@ def scan_documents(docs: DataFrame, base: dict[str, str] = BASE, templates: dict
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]], names=["doc_id", *out])
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:bigint,end:bigint,covered:double>>"
-    return common.columns_of(docs, "doc_id", "text").mapInArrow(run, schema)
+    return common.columns_of(docs, "doc_id", "text").transform(common.map_arrow, run, schema)
 
 
 def brute_force_base(text: str | None, base: dict[str, str] = BASE) -> tuple[int, list[int], str]:

@@ -31,6 +31,8 @@ from . import common
 WORD_BITS, PAIR_BITS = 16, 19
 #: Weights of the bigram, unigram and uniform estimates.
 MIXTURE = (0.5, 0.45, 0.05)
+#: Bytes of text counted at once; each round adds up whole tables.
+COUNTED_BYTES = 1 << 20
 
 
 def places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +54,7 @@ def count(corpus: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for part in common.by_size(batch):
+            for part in common.by_size(batch, most=COUNTED_BYTES):
                 w, before, pair, _ = places(common.byte_texts(part.column(0)))
                 total[: 1 << WORD_BITS] += np.bincount(w, minlength=1 << WORD_BITS)
                 total[1 << WORD_BITS : (2 << WORD_BITS) + 1] += np.bincount(before, minlength=(1 << WORD_BITS) + 1)
@@ -62,7 +64,7 @@ def count(corpus: DataFrame) -> DataFrame:
             here = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(total[here])], names=["place", "n"])
 
-    return corpus.select("text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    return corpus.select("text").transform(common.map_arrow, run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -116,4 +118,4 @@ def score(docs: DataFrame, target: NgramModel, background: NgramModel) -> DataFr
                 s = np.round(np.where(none, 0.0, b - t), 9)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(t, mask=none), pa.array(b, mask=none), pa.array(s)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return common.columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return common.columns_of(docs, "doc_id", "text").transform(common.map_arrow, run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

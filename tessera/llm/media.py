@@ -246,7 +246,7 @@ def _media(docs: DataFrame) -> DataFrame:
                 texts = common.byte_texts(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode_png(payload_of(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return common.columns_of(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return common.columns_of(docs, "doc_id", "text").transform(common.map_arrow, run, SCHEMA)
 
 
 def store_documents(docs: DataFrame, path: str | None = None) -> str:
@@ -280,6 +280,6 @@ def features(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(o, t) for o, t in zip(out, kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", F.col("media")).mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", F.col("media")).transform(common.map_arrow, run, schema)
 
 

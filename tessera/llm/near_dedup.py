@@ -80,7 +80,7 @@ def _facts(docs: DataFrame, shingle: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "s1", "s2", "tokens"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(common.map_arrow, run, "doc_id long, n_shingles long, s1 long, s2 long, tokens binary")
 
 
 def _with_tree_paths(reps: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def _with_tree_paths(reps: DataFrame) -> DataFrame:
             node = common.mix(raw[:, :, 0].ravel().astype(np.uint64) + (tree.astype(np.uint64) << np.uint64(32)) + np.uint64(1 << 48))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), TREES)), pa.array(tree), pa.array(node.view(np.int64))], names=["rep", "tree", "node"])
 
-    return reps.select("rep", "tokens").mapInArrow(run, "rep long, tree int, node long")
+    return reps.select("rep", "tokens").transform(common.map_arrow, run, "rep long, tree int, node long")
 
 
 def _next_level(rows: DataFrame, level: int) -> DataFrame:
@@ -108,7 +108,7 @@ def _next_level(rows: DataFrame, level: int) -> DataFrame:
             node = common.mix(np.asarray(batch.column(2)).view(np.uint64) ^ common.mix(token + np.uint64(level << 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64))], names=["rep", "tree", "node"])
 
-    return rows.select("rep", "tree", "node", "tokens").mapInArrow(run, "rep long, tree int, node long")
+    return rows.select("rep", "tree", "node", "tokens").transform(common.map_arrow, run, "rep long, tree int, node long")
 
 
 def _leaves(reps: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +158,7 @@ def _leaders(leaves: DataFrame) -> DataFrame:
                         lead.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return leaves.select("group").mapInArrow(run, "a long, b long").distinct()
+    return leaves.select("group").transform(common.map_arrow, run, "a long, b long").distinct()
 
 
 def _open_pairs(leaves: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _open_pairs(leaves: DataFrame) -> DataFrame:
                 i, j = i[ok], j[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
 
-    return leaves.select("group").mapInArrow(run, "a long, b long").distinct()
+    return leaves.select("group").transform(common.map_arrow, run, "a long, b long").distinct()
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -193,7 +193,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["rep", "values"])
 
     rows = common.with_members(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null"), "rep", wanted).join(wanted.hint("merge"), "rep")
-    return rows.select("rep", "s1", "text").mapInArrow(run, "rep long, values binary").dropDuplicates(["rep"])
+    return rows.select("rep", "s1", "text").transform(common.map_arrow, run, "rep long, values binary").dropDuplicates(["rep"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("rep").alias("b"), F.col("values").alias("vb"))
     left = sets.select(F.col("rep").alias("a"), F.col("values").alias("va"))
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    return both.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "va", "vb").transform(common.map_arrow, run, "a long, b long")
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:

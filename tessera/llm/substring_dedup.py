@@ -136,7 +136,7 @@ def _signatures(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, words.offsets).astype(np.int32)), pa.array(grams[at].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.diff(words.offsets), pa.int64()), pa.array(sha, pa.binary()), lists], names=["k", "ta", "tb", "n_words", "sha", "anchors"])
 
-    return docs.select(*identity(), "text").mapInArrow(run, "k long, ta long, tb long, n_words long, sha binary, anchors array<long>")
+    return docs.select(*identity(), "text").transform(common.map_arrow, run, "k long, ta long, tb long, n_words long, sha binary, anchors array<long>")
 
 
 def _candidate_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _candidate_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     row, at, n = (np.concatenate(x) for x in zip(*got, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(ta[row]), pa.array(w1[at].view(np.int64)), pa.array(w2[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "ta", "w1", "w2", "n"])
 
-    return texts.select("k", "ta", "copies", "text", "repeated").mapInArrow(run, "k long, ta long, w1 long, w2 long, n long")
+    return texts.select("k", "ta", "copies", "text", "repeated").transform(common.map_arrow, run, "k long, ta long, w1 long, w2 long, n long")
 
 
 def _cut(texts: DataFrame, window: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
                     kept.append(_kept(words, i, drop))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["k", "ta", "n_removed", "kept"])
 
-    return texts.select("k", "ta", "text", "w").mapInArrow(run, "k long, ta long, n_removed long, kept string")
+    return texts.select("k", "ta", "text", "w").transform(common.map_arrow, run, "k long, ta long, n_removed long, kept string")
 
 
 def find_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> tuple[DataFrame, DataFrame]:

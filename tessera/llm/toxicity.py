@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, most_terms: i
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.int64())], names=["term", "toxic", "sketch"])
 
     # Near copies have one sketch, so that a text copied many times counts once.
-    found = rows.mapInArrow(terms_of, "term string, toxic boolean, sketch long").distinct().groupBy("term").agg(F.count(F.when(F.col("toxic"), 1)).alias("t"), F.count(F.when(~F.col("toxic"), 1)).alias("c"))
+    found = rows.transform(common.map_arrow, terms_of, "term string, toxic boolean, sketch long").distinct().groupBy("term").agg(F.count(F.when(F.col("toxic"), 1)).alias("t"), F.count(F.when(~F.col("toxic"), 1)).alias("c"))
     total = found.where("term = ''").first()
     nt, nc = (total["t"], total["c"]) if total else (0, 0)
     support = max(3, round(0.015 * nt))
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, most_terms: i
                 yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.bool_()))], names=["term", "distance", "toxic"])
 
     weight = {}
-    seen = rows.mapInArrow(hits_of, "term int, distance int, toxic boolean").groupBy("term", "distance").agg(F.count(F.when(F.col("toxic"), 1)).alias("t"), F.count(F.when(~F.col("toxic"), 1)).alias("c"))
+    seen = rows.transform(common.map_arrow, hits_of, "term int, distance int, toxic boolean").groupBy("term", "distance").agg(F.count(F.when(F.col("toxic"), 1)).alias("t"), F.count(F.when(~F.col("toxic"), 1)).alias("c"))
     for r in seen.collect():  # terms x distances
         p = _precision(r["t"] + 0.5, r["c"], nt, nc)
         weight[(r["term"], r["distance"])] = min(0.97, p) if r["c"] == 0 or p >= 0.9 else 0.0 if r["distance"] else p / 2
@@ -285,7 +285,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 got = np.array(shared.value.score([t or "" for t in part.column(1).to_pylist()]), dtype=np.float64)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return common.columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return common.columns_of(docs, "doc_id", "text").transform(common.map_arrow, run, "doc_id long, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -299,7 +299,7 @@ def clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 got = np.array(shared.value.score([t or "" for t in part.column(at).to_pylist()]), dtype=np.float64)
                 yield part.filter(pa.array(got < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(common.map_arrow, run, docs.schema)
 
 
 def held_out(column: str = "doc_id") -> Column:
