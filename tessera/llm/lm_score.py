@@ -1,121 +1,156 @@
 """Cross-entropy difference of matched n-gram models.
 
-A target model and a background model have one vocabulary (words, lower-cased,
-hashed to ``words`` classes), one order (2), one smoothing and one set of
-bigram places. A word's probability after another is a mixture of its bigram
-estimate, its unigram estimate and the uniform one. Each token of a document
-loses -log p under both; the mean of (background loss - target loss) over its
-tokens is the document's score: higher is nearer to the target.
-
-Counts cover every row of both corpora. Each task folds its share into arrays of
-fixed size and sends the places that it filled; sums of those fixed places make
-the models, whose size is a parameter and doesn't grow with the corpora.
+A target model and a background model have one vocabulary (all words of both
+corpora and of the scored texts, A-Z lower-cased), one order (2) and one
+smoothing. A word's probability after another is a mixture of its bigram
+estimate, its unigram estimate and the uniform one; after a word that a corpus
+lacks, the bigram's share goes to the unigram. Each token of a document loses
+-log p under both; the mean of (background loss - target loss) over its tokens
+is the document's score: higher is nearer to the target.
+
+Counts cover every row and are exact: one row for each different word pair, in
+a table that grows with the corpora (pairs and words go by 64-bit hashes). A
+pair's losses are the same wherever it stands, so they are computed once a pair.
+Pairs that make up at least 1/``FREQUENT`` of all scored tokens, of which there
+can be no more than ``FREQUENT``, are broadcast and summed as texts are read; so
+no key of the join that scores the others is hot. Losses are whole numbers of
+1e-9, so that sums don't depend on an order.
 
 Defined results: null and empty texts have no tokens, null losses and score 0;
-equal texts get equal values; empty corpora leave the uniform model; other
-columns are ignored.
+equal texts get equal values; an empty corpus gives the uniform model; ids may be
+null or repeated, one result a row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-WORD_BITS, PAIR_BITS = 16, 19
 #: Weights of the bigram, unigram and uniform estimates.
 MIXTURE = (0.5, 0.45, 0.05)
-#: Bytes of text counted at once; each round adds up whole tables.
+#: At most so many pairs are broadcast, at 24 bytes each.
+FREQUENT = 1 << 17
+#: Losses are kept as multiples of 1 / SCALE.
+SCALE = 10**9
+#: Bytes of text whose pairs are counted at once.
 COUNTED_BYTES = 1 << 20
+#: Stands before a text's first word.
+START = np.uint64(0x5851F42D4C957F2D)
 
 
-def places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's class, its left neighbour's class and its bigram place; and the texts' offsets."""
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's hash, its left neighbour's and the pair's; and the texts' offsets."""
     words = common.Words([t.lower() for t in texts])
-    w = (words.hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    w = words.hashes
     before = np.empty_like(w)
     before[1:] = w[:-1]
-    first = words.offsets[:-1][np.diff(words.offsets) > 0]
-    before[first] = 1 << WORD_BITS
-    pair = (common.mix(w.astype(np.uint64) * common.WORD_BASE + before.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return w, before, pair, words.offsets
+    before[words.offsets[:-1][np.diff(words.offsets) > 0]] = START
+    return w, before, common.mix(w * common.WORD_BASE + common.mix(before)), words.offsets
 
 
-def count(corpus: DataFrame) -> DataFrame:
-    """``place, n``: unigram places, then places of left neighbours, then bigram places."""
-    size = (1 << WORD_BITS) + (1 << WORD_BITS) + 1 + (1 << PAIR_BITS)
+def _counts(corpus: DataFrame, role: str) -> DataFrame:
+    """``g, b, w, t, n, d``: pairs with their occurrences, under the roles (target, background, scored) that ``role`` lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for part in common.by_size(batch, most=COUNTED_BYTES):
-                w, before, pair, _ = places(common.byte_texts(part.column(0)))
-                total[: 1 << WORD_BITS] += np.bincount(w, minlength=1 << WORD_BITS)
-                total[1 << WORD_BITS : (2 << WORD_BITS) + 1] += np.bincount(before, minlength=(1 << WORD_BITS) + 1)
-                total[(2 << WORD_BITS) + 1 :] += np.bincount(pair, minlength=1 << PAIR_BITS)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            here = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(total[here])], names=["place", "n"])
-
-    return corpus.select("text").transform(common.map_arrow, run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class NgramModel:
-    """Probabilities as 32-bit floats: a fixed 4 bytes a place."""
-
-    unigram: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
-
-    def losses(self, w: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        bigram = self.pair[pair] / np.maximum(self.context[before], 1)
-        p = MIXTURE[0] * np.minimum(bigram, 1) + MIXTURE[1] * self.unigram[w] + MIXTURE[2] / (1 << WORD_BITS)
-        return -np.log(p.astype(np.float64))
-
-
-def fit(corpus: DataFrame) -> NgramModel:
-    """A model of ``corpus(text)``; at most one number a place reaches the driver."""
-    got = count(corpus).toArrow()
-    total = np.zeros((2 << WORD_BITS) + 1 + (1 << PAIR_BITS), dtype=np.float64)
-    total[np.asarray(got.column("place"))] = np.asarray(got.column("n"))
-    uni = total[: 1 << WORD_BITS]
-    return NgramModel((uni / max(1.0, uni.sum())).astype(np.float32), total[1 << WORD_BITS : (2 << WORD_BITS) + 1].astype(np.float32), total[(2 << WORD_BITS) + 1 :].astype(np.float32))
-
-
-def score_texts(target: NgramModel, background: NgramModel, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, mean target loss, mean background loss) of each text; a mean of no tokens is nan."""
-    w, before, pair, offsets = places(texts)
-    n = np.diff(offsets)
-    out = []
-    for model in (target, background):
-        loss = model.losses(w, before, pair)
-        own = np.zeros(len(n))
-        some = n > 0
-        own[some] = np.add.reduceat(loss, offsets[:-1][some]) if some.any() else 0.0
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out.append(own / n)
-    return n, out[0], out[1]
-
-
-def score(docs: DataFrame, target: NgramModel, background: NgramModel) -> DataFrame:
-    """``doc_id, n_tokens, target_loss, background_loss, score`` of every row of ``docs(doc_id, text)``."""
-    shared = docs.sparkSession.sparkContext.broadcast((target, background))  # fixed size: 4 bytes a place
+                w, before, pair, _ = grams(common.byte_texts(part.column(0)))
+                g, first, n = np.unique(pair, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (g, before[first], w[first], n.astype(np.int64))], names=["g", "b", "w", "many"])
+
+    got = corpus.select("text").transform(common.map_arrow, run, "g long, b long, w long, many long")
+    return got.select("g", "b", "w", *[(F.col("many") if r in role else F.lit(0).cast("long")).alias(r) for r in "tnd"])
+
+
+def _loss(pair: str, context: str, word: str, total: int, vocabulary: int) -> Column:
+    uniform = 1.0 / max(1, vocabulary)
+    unigram = F.col(word) / F.lit(float(total)) if total else F.lit(uniform)
+    bigram = F.when(F.col(context) > 0, F.col(pair) / F.col(context)).otherwise(unigram)
+    p = F.lit(MIXTURE[0]) * bigram + F.lit(MIXTURE[1]) * unigram + F.lit(MIXTURE[2] * uniform)
+    return F.round(-F.log(p) * SCALE).cast("long")
+
+
+def pair_losses(docs: DataFrame, target: DataFrame, background: DataFrame | None = None) -> DataFrame:
+    """``g, d, lt, lb``: each pair's occurrences in ``docs`` and its losses under both models, as a scratch table."""
+    rows = _counts(target, "t").unionByName(_counts(docs, "nd") if background is None else _counts(background, "n").unionByName(_counts(docs, "d")))
+    pairs = common.save(rows.groupBy("g").agg(F.any_value("b").alias("b"), F.any_value("w").alias("w"), *[F.sum(c).alias(c) for c in "tnd"]), "pairs")
+    words = common.save(pairs.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("n").alias("wn")), "words")
+    contexts = common.save(pairs.groupBy("b").agg(F.sum("t").alias("bt"), F.sum("n").alias("bn")), "contexts")
+    total = words.agg(F.sum("wt").alias("t"), F.sum("wn").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    both = pairs.where("d > 0").join(words, "w").join(contexts, "b")
+    out = both.select("g", "d", _loss("t", "bt", "wt", total["t"] or 0, total["v"]).alias("lt"), _loss("n", "bn", "wn", total["n"] or 0, total["v"]).alias("lb"))
+    losses = common.save(out, "losses")
+    common.remove(docs.sparkSession, pairs, words, contexts)
+    return losses
+
+
+def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = None) -> DataFrame:
+    """``doc_id, n_tokens, target_loss, background_loss, score`` of every row of ``docs(doc_id, text)``.
+
+    ``target(text)`` and ``background(text)`` are the corpora; without a
+    background, ``docs`` is.
+    """
+    docs = common.columns_of(docs, "doc_id", "text")
+    losses = pair_losses(docs, common.columns_of(target, "text"), None if background is None else common.columns_of(background, "text"))
+    tokens = losses.agg(F.sum("d")).first()[0] or 0
+    often = F.col("d") * FREQUENT >= F.lit(tokens)
+    top = losses.where(often).select("g", "lt", "lb").toArrow()  # FREQUENT rows at most, as their shares add up to 1 at most
+    table = np.stack([np.asarray(top.column(c)) for c in ("g", "lt", "lb")])
+    shared = docs.sparkSession.sparkContext.broadcast(table[:, np.argsort(table[0])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            g, lt, lb = shared.value
             for part in common.by_size(batch):
-                n, t, b = score_texts(*shared.value, common.byte_texts(part.column(1)))
-                t, b = np.round(t, 9), np.round(b, 9)
-                none = n == 0
-                s = np.round(np.where(none, 0.0, b - t), 9)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(t, mask=none), pa.array(b, mask=none), pa.array(s)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                _, _, pair, offsets = grams(common.byte_texts(part.column(2)))
+                pair = pair.view(np.int64)
+                at = np.minimum(np.searchsorted(g, pair), max(len(g) - 1, 0))
+                known = g[at] == pair if len(g) else np.zeros(len(pair), dtype=bool)
+                sums = []
+                for loss in (lt, lb):
+                    up = np.zeros(len(pair) + 1, dtype=np.int64)
+                    np.cumsum(np.where(known, loss[at], 0) if len(g) else up[1:], out=up[1:])
+                    sums.append(pa.array(np.diff(up[offsets])))
+                others = np.flatnonzero(~known)
+                rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(others, offsets).astype(np.int32)), pa.array(pair[others]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), *sums, rest], names=["row", "doc_id", "n", "lt", "lb", "rest"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    facts = common.save(numbered.transform(common.map_arrow, run, "row long, doc_id long, n long, lt long, lb long, rest array<long>"), "facts")
+    rest = facts.select("row", F.explode("rest").alias("g")).join(losses.where(~often).select("g", "lt", "lb"), "g")
+    rest = rest.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), "lt", "lb")
+    sums = facts.drop("rest").unionByName(rest).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "lt", "lb")])
+    mean = lambda c: F.round(F.when(F.col("n") > 0, c / F.col("n") / SCALE), 9)
+    return sums.select("doc_id", F.col("n").alias("n_tokens"), mean(F.col("lt")).alias("target_loss"), mean(F.col("lb")).alias("background_loss"), F.coalesce(mean(F.col("lb") - F.col("lt")), F.lit(0.0)).alias("score"))
+
+
+def brute_force(texts: list[str | None], target: list[str | None], background: list[str | None]) -> list[tuple[int, float | None, float | None]]:
+    """(tokens, target loss, background loss) of each text by plain loops, for tests."""
+
+    def pairs(text: str | None) -> list[tuple[bytes, bytes]]:
+        words = (text or "").encode().lower().split()
+        return list(zip([b" ", *words], words, strict=False))
+
+    corpora = [[p for x in corpus for p in pairs(x)] for corpus in (target, background)]
+    v = len({w for corpus in (*corpora, [p for x in texts for p in pairs(x)]) for _, w in corpus})
+    models = [(Counter(c), Counter(b for b, _ in c), Counter(w for _, w in c), len(c)) for c in corpora]
+
+    def loss(model: tuple[Counter, Counter, Counter, int], b: bytes, w: bytes) -> float:
+        pair, context, word, total = model
+        uni = word[w] / total if total else 1 / v
+        bi = pair[b, w] / context[b] if context[b] else uni
+        return -math.log(MIXTURE[0] * bi + MIXTURE[1] * uni + MIXTURE[2] / v)
 
-    return common.columns_of(docs, "doc_id", "text").transform(common.map_arrow, run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    out = []
+    for text in texts:
+        own = pairs(text)
+        out.append((len(own), *[sum(loss(m, *p) for p in own) / len(own) if own else None for m in models]))
+    return out

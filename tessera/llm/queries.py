@@ -75,9 +75,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    target, background = lm_score.fit(_table(spark, sf_dir, "conversations")), lm_score.fit(docs)
-    return lm_score.score(docs, target, background)
+    return lm_score.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

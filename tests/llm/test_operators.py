@@ -232,19 +232,25 @@ def test_media_retries_one_member(tmp_path):
     assert opened == [False, True, True]
 
 
-def test_lm_score(spark, docs, odd, empty):
-    target = docs.where("lang = 'fr'")
-    t, b = lm_score.fit(target), lm_score.fit(docs)
-    mean = {r["lang"]: r["m"] for r in lm_score.score(docs, t, b).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("score").alias("m")).collect()}
-    assert all(mean["fr"] > v for k, v in mean.items() if k != "fr")
-    counts = np.zeros(1 << lm_score.WORD_BITS)
-    for _, text in plain(docs):
-        w, *_ = lm_score.places([(text or "").encode()])
-        np.add.at(counts, w, 1)
-    assert np.allclose(b.unigram, counts / counts.sum())
-    rows = {r["doc_id"]: r for r in lm_score.score(odd, t, b).collect()}
+@pytest.mark.parametrize("frequent", [1, lm_score.FREQUENT])
+def test_lm_score(spark, docs, odd, empty, monkeypatch, frequent):
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    few = docs.where("n_chars < 3000")
+    texts, target = [t for _, t in plain(few)], few.where("lang = 'fr'")
+
+    def check(got, texts, goal, background):
+        got = sorted((r["n_tokens"], r["target_loss"] or 0, r["background_loss"] or 0) for r in got.collect())
+        want = sorted((n, t or 0, b or 0) for n, t, b in lm_score.brute_force(texts, goal, background))
+        assert len(got) == len(want) and np.allclose(got, want, atol=1e-7)
+
+    check(lm_score.score(few, target), texts, [t for _, t in plain(target)], texts)
+    check(lm_score.score(odd, target, few), [t for _, t in plain(odd)], [t for _, t in plain(target)], texts)
+    check(lm_score.score(odd, empty), [t for _, t in plain(odd)], [], [t for _, t in plain(odd)])
+    rows = {r["doc_id"]: r for r in lm_score.score(odd, target, few).collect()}
     assert all(rows[i]["score"] == 0 and rows[i]["target_loss"] is None for i in (1, 2, 3))
-    assert lm_score.score(empty, lm_score.fit(empty), lm_score.fit(empty)).count() == 0
+    mean = {r["lang"]: r["m"] for r in lm_score.score(few, target).join(few.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("score").alias("m")).collect()}
+    assert all(mean["fr"] > v for k, v in mean.items() if k != "fr")
+    assert lm_score.score(empty, empty).count() == 0
 
 
 def test_membership_filter_keeps_all_members(spark):
