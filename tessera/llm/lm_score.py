@@ -1,20 +1,22 @@
 """Cross-entropy difference of matched n-gram models.
 
 A target model and a background model have one vocabulary (all words of both
-corpora and of the scored texts, A-Z lower-cased), one order (2) and one
-smoothing. A word's probability after another is a mixture of its bigram
-estimate, its unigram estimate and the uniform one; after a word that a corpus
-lacks, the bigram's share goes to the unigram. Each token of a document loses
--log p under both; the mean of (background loss - target loss) over its tokens
-is the document's score: higher is nearer to the target.
-
-Counts cover every row and are exact: one row for each different word pair, in
-a table that grows with the corpora (pairs and words go by 64-bit hashes). A
-pair's losses are the same wherever it stands, so they are computed once a pair.
-Pairs that make up at least 1/``FREQUENT`` of all scored tokens, of which there
-can be no more than ``FREQUENT``, are broadcast and summed as texts are read; so
-no key of the join that scores the others is hot. Losses are whole numbers of
-1e-9, so that sums don't depend on an order.
+corpora and of the scored texts, A-Z lower-cased), one order (2), one smoothing
+and one cut-off: pairs of words that both corpora together hold less than
+``CUTOFF`` times have no bigram estimate. A word's probability after another is
+a mixture of its bigram estimate, its unigram estimate and the uniform one. Each
+token of a document loses -log p under both; the mean of (background loss -
+target loss) over its tokens is the document's score: higher is nearer to the
+target.
+
+Counts cover every row and are exact, in a table that grows with the corpora.
+Words go by 32-bit hashes (of a million words, about a hundred pairs share one)
+and a pair by both, one long. The loss is that of the word without a bigram,
+plus a gain of the pair where it has one; both are computed once for each key.
+Keys that make up at least 1/``FREQUENT`` of all that are looked up, of which
+there can be no more than ``FREQUENT``, are broadcast and summed as texts are
+read; so no key of the join that scores the others is hot. Losses are whole
+numbers of 1e-9, so that sums don't depend on an order.
 
 Defined results: null and empty texts have no tokens, null losses and score 0;
 equal texts get equal values; an empty corpus gives the uniform model; ids may be
@@ -36,59 +38,70 @@ from . import common
 
 #: Weights of the bigram, unigram and uniform estimates.
 MIXTURE = (0.5, 0.45, 0.05)
-#: At most so many pairs are broadcast, at 24 bytes each.
+#: Least occurrences of a pair that has a bigram estimate.
+CUTOFF = 2
+#: At most so many keys are broadcast, at 24 bytes each.
 FREQUENT = 1 << 17
+#: Slices of the other keys, joined one after the other: the disk holds one slice's shuffle at a time.
+SLICES = 3
 #: Losses are kept as multiples of 1 / SCALE.
 SCALE = 10**9
 #: Bytes of text whose pairs are counted at once.
 COUNTED_BYTES = 1 << 20
 #: Stands before a text's first word.
-START = np.uint64(0x5851F42D4C957F2D)
+START = 0x5851F42D
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's hash, its left neighbour's and the pair's; and the texts' offsets."""
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's key (its word alone) and its pair's key (left neighbour above, word below); and the texts' offsets."""
     words = common.Words([t.lower() for t in texts])
-    w = words.hashes
+    w = np.maximum(words.hashes >> np.uint64(32), np.uint64(1))
     before = np.empty_like(w)
     before[1:] = w[:-1]
     before[words.offsets[:-1][np.diff(words.offsets) > 0]] = START
-    return w, before, common.mix(w * common.WORD_BASE + common.mix(before)), words.offsets
+    return w.view(np.int64), ((before << np.uint64(32)) | w).view(np.int64), words.offsets
 
 
-def _counts(corpus: DataFrame, role: str) -> DataFrame:
-    """``g, b, w, t, n, d``: pairs with their occurrences, under the roles (target, background, scored) that ``role`` lists."""
+def _counts(corpus: DataFrame, role: str, roles: str) -> DataFrame:
+    """``g`` and a column for each of ``roles``: the occurrences of words, text starts and pairs, in those that ``role`` lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.by_size(batch, most=COUNTED_BYTES):
-                w, before, pair, _ = grams(common.byte_texts(part.column(0)))
-                g, first, n = np.unique(pair, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (g, before[first], w[first], n.astype(np.int64))], names=["g", "b", "w", "many"])
+                word, pair, offsets = grams(common.byte_texts(part.column(0)))
+                starts = np.full(int((np.diff(offsets) > 0).sum()), START, dtype=np.int64)
+                g, n = np.unique(np.concatenate([word, pair, starts]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], names=["g", "many"])
 
-    got = corpus.select("text").transform(common.map_arrow, run, "g long, b long, w long, many long")
-    return got.select("g", "b", "w", *[(F.col("many") if r in role else F.lit(0).cast("long")).alias(r) for r in "tnd"])
+    got = corpus.select("text").transform(common.map_arrow, run, "g long, many long")
+    return got.select("g", *[(F.col("many") if r in role else F.lit(0).cast("long")).alias(r) for r in roles])
 
 
-def _loss(pair: str, context: str, word: str, total: int, vocabulary: int) -> Column:
+def _probability(word: Column, total: int, vocabulary: int) -> Column:
     uniform = 1.0 / max(1, vocabulary)
-    unigram = F.col(word) / F.lit(float(total)) if total else F.lit(uniform)
-    bigram = F.when(F.col(context) > 0, F.col(pair) / F.col(context)).otherwise(unigram)
-    p = F.lit(MIXTURE[0]) * bigram + F.lit(MIXTURE[1]) * unigram + F.lit(MIXTURE[2] * uniform)
-    return F.round(-F.log(p) * SCALE).cast("long")
-
-
-def pair_losses(docs: DataFrame, target: DataFrame, background: DataFrame | None = None) -> DataFrame:
-    """``g, d, lt, lb``: each pair's occurrences in ``docs`` and its losses under both models, as a scratch table."""
-    rows = _counts(target, "t").unionByName(_counts(docs, "nd") if background is None else _counts(background, "n").unionByName(_counts(docs, "d")))
-    pairs = common.save(rows.groupBy("g").agg(F.any_value("b").alias("b"), F.any_value("w").alias("w"), *[F.sum(c).alias(c) for c in "tnd"]), "pairs")
-    words = common.save(pairs.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("n").alias("wn")), "words")
-    contexts = common.save(pairs.groupBy("b").agg(F.sum("t").alias("bt"), F.sum("n").alias("bn")), "contexts")
-    total = words.agg(F.sum("wt").alias("t"), F.sum("wn").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    both = pairs.where("d > 0").join(words, "w").join(contexts, "b")
-    out = both.select("g", "d", _loss("t", "bt", "wt", total["t"] or 0, total["v"]).alias("lt"), _loss("n", "bn", "wn", total["n"] or 0, total["v"]).alias("lb"))
-    losses = common.save(out, "losses")
-    common.remove(docs.sparkSession, pairs, words, contexts)
+    return F.lit(MIXTURE[1]) * (word / F.lit(float(total)) if total else F.lit(uniform)) + F.lit(MIXTURE[2] * uniform)
+
+
+def key_losses(docs: DataFrame, target: DataFrame, background: DataFrame | None = None) -> DataFrame:
+    """``g, d, lt, lb``: each key's occurrences in ``docs`` and its part of both losses, as a scratch table."""
+    spark = docs.sparkSession
+    roles, d = ("tn", "n") if background is None else ("tnd", "d")
+    rows = _counts(target, "t", roles).unionByName(_counts(docs, d, roles))
+    if background is not None:
+        rows = rows.unionByName(_counts(background, "n", roles))
+    is_word = F.col("g").between(1, (1 << 32) - 1)
+    counts = rows.groupBy("g").agg(*[F.sum(c).alias(c) for c in roles])
+    counts = common.save(counts.where(is_word | ((F.col(d) > 0) & (F.col("t") + F.col("n") >= CUTOFF))), "counts")
+    words = counts.where(is_word)
+    total = words.where(F.col("g") != START).agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    plain = {c: (lambda word, n=total[c] or 0: _probability(word, n, total["v"])) for c in "tn"}
+    whole = lambda x: F.round(x * SCALE).cast("long")
+    alone = words.where((F.col("g") != START) & (F.col(d) > 0)).select("g", F.col(d).alias("d"), *[whole(-F.log(plain[c](F.col(c)))).alias(f"l{c}") for c in "tn"])
+    pairs = counts.where(~is_word).select("g", F.col(d).alias("d"), "t", "n", F.shiftrightunsigned("g", 32).alias("b"), F.col("g").bitwiseAND(F.lit((1 << 32) - 1)).alias("w"))
+    both = pairs.join(words.select(F.col("g").alias("w"), F.col("t").alias("wt"), F.col("n").alias("wn")), "w").join(words.select(F.col("g").alias("b"), F.col("t").alias("bt"), F.col("n").alias("bn")), "b")
+    gain = lambda c: whole(-F.log1p(F.lit(MIXTURE[0]) * F.col(c) / F.greatest(F.col(f"b{c}"), F.lit(1)) / plain[c](F.col(f"w{c}"))))
+    losses = common.save(alone.unionByName(both.select("g", "d", gain("t").alias("lt"), gain("n").alias("ln"))).withColumnRenamed("ln", "lb"), "losses")
+    common.remove(spark, counts)
     return losses
 
 
@@ -99,9 +112,9 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
     background, ``docs`` is.
     """
     docs = common.columns_of(docs, "doc_id", "text")
-    losses = pair_losses(docs, common.columns_of(target, "text"), None if background is None else common.columns_of(background, "text"))
-    tokens = losses.agg(F.sum("d")).first()[0] or 0
-    often = F.col("d") * FREQUENT >= F.lit(tokens)
+    losses = key_losses(docs, common.columns_of(target, "text"), None if background is None else common.columns_of(background, "text"))
+    looked_up = losses.agg(F.sum("d")).first()[0] or 0
+    often = F.col("d") * FREQUENT >= F.lit(looked_up)
     top = losses.where(often).select("g", "lt", "lb").toArrow()  # FREQUENT rows at most, as their shares add up to 1 at most
     table = np.stack([np.asarray(top.column(c)) for c in ("g", "lt", "lb")])
     shared = docs.sparkSession.sparkContext.broadcast(table[:, np.argsort(table[0])])
@@ -110,24 +123,31 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
         for batch in batches:
             g, lt, lb = shared.value
             for part in common.by_size(batch):
-                _, _, pair, offsets = grams(common.byte_texts(part.column(2)))
-                pair = pair.view(np.int64)
-                at = np.minimum(np.searchsorted(g, pair), max(len(g) - 1, 0))
-                known = g[at] == pair if len(g) else np.zeros(len(pair), dtype=bool)
+                word, pair, offsets = grams(common.byte_texts(part.column(2)))
+                keys = np.stack([word, pair], axis=1).ravel()  # a text's keys stand together
+                at = np.minimum(np.searchsorted(g, keys), max(len(g) - 1, 0))
+                known = g[at] == keys if len(g) else np.zeros(len(keys), dtype=bool)
                 sums = []
                 for loss in (lt, lb):
-                    up = np.zeros(len(pair) + 1, dtype=np.int64)
-                    np.cumsum(np.where(known, loss[at], 0) if len(g) else up[1:], out=up[1:])
-                    sums.append(pa.array(np.diff(up[offsets])))
-                others = np.flatnonzero(~known)
-                rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(others, offsets).astype(np.int32)), pa.array(pair[others]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), *sums, rest], names=["row", "doc_id", "n", "lt", "lb", "rest"])
-
+                    up = np.zeros(len(keys) + 1, dtype=np.int64)
+                    if len(g):
+                        np.cumsum(np.where(known, loss[at], 0), out=up[1:])
+                    sums.append(pa.array(np.diff(up[2 * offsets])))
+                slices = []
+                for i in range(SLICES):
+                    mine = np.flatnonzero(~known & (keys % SLICES == i))
+                    slices.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(mine, 2 * offsets).astype(np.int32)), pa.array(keys[mine])))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), *sums, *slices], names=["row", "doc_id", "n", "lt", "lb", *names])
+
+    names = [f"rest{i}" for i in range(SLICES)]
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    facts = common.save(numbered.transform(common.map_arrow, run, "row long, doc_id long, n long, lt long, lb long, rest array<long>"), "facts")
-    rest = facts.select("row", F.explode("rest").alias("g")).join(losses.where(~often).select("g", "lt", "lb"), "g")
-    rest = rest.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), "lt", "lb")
-    sums = facts.drop("rest").unionByName(rest).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "lt", "lb")])
+    facts = common.save(numbered.transform(common.map_arrow, run, "row long, doc_id long, n long, lt long, lb long, " + ", ".join(f"{c} array<long>" for c in names)), "facts")
+    every = facts.drop(*names)
+    for i, name in enumerate(names):
+        mine = losses.where(~often & (F.pmod("g", F.lit(SLICES)) == i)).select("g", "lt", "lb")
+        part = facts.select("row", F.explode(name).alias("g")).join(mine, "g").groupBy("row").agg(F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
+        every = every.unionByName(common.save(part, name).select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), "lt", "lb"))
+    sums = every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "lt", "lb")])
     mean = lambda c: F.round(F.when(F.col("n") > 0, c / F.col("n") / SCALE), 9)
     return sums.select("doc_id", F.col("n").alias("n_tokens"), mean(F.col("lt")).alias("target_loss"), mean(F.col("lb")).alias("background_loss"), F.coalesce(mean(F.col("lb") - F.col("lt")), F.lit(0.0)).alias("score"))
 
@@ -141,13 +161,14 @@ def brute_force(texts: list[str | None], target: list[str | None], background: l
 
     corpora = [[p for x in corpus for p in pairs(x)] for corpus in (target, background)]
     v = len({w for corpus in (*corpora, [p for x in texts for p in pairs(x)]) for _, w in corpus})
-    models = [(Counter(c), Counter(b for b, _ in c), Counter(w for _, w in c), len(c)) for c in corpora]
+    models = [(Counter(c), Counter([w for _, w in c] + [b for b, _ in c if b == b" "]), len(c)) for c in corpora]
+
+    both = models[0][0] + models[1][0]
 
-    def loss(model: tuple[Counter, Counter, Counter, int], b: bytes, w: bytes) -> float:
-        pair, context, word, total = model
-        uni = word[w] / total if total else 1 / v
-        bi = pair[b, w] / context[b] if context[b] else uni
-        return -math.log(MIXTURE[0] * bi + MIXTURE[1] * uni + MIXTURE[2] / v)
+    def loss(model: tuple[Counter, Counter, int], b: bytes, w: bytes) -> float:
+        pair, word, total = model
+        bi = pair[b, w] / max(1, word[b]) if both[b, w] >= CUTOFF else 0
+        return -math.log(MIXTURE[0] * bi + MIXTURE[1] * (word[w] / total if total else 1 / v) + MIXTURE[2] / v)
 
     out = []
     for text in texts:
