@@ -5,17 +5,20 @@ sets are one node of the join. In each of ``trees`` independent trees a document
 walks down by the minwise token of its set under that level's hash: documents
 of Jaccard similarity s take the same branch with probability s. A tree node of
 at most ``leaf`` documents is compared exhaustively; larger ones branch again,
-down to ``levels``; what is larger still is cut into blocks of ``leaf``, and all
-of its documents are also compared with the node's first one, so that blocks
-stay linked. A pair at the threshold t ends up together in a tree of depth d
-with probability t**d, so ``trees`` = 8 miss it with (1 - t**d)**8: below 4e-5
-down to depth 2 at 0.85.
+down to ``LEVELS``; what is larger still is compared exhaustively too: it is cut
+into blocks of ``BLOCK`` shingles, and each two blocks make a cell, so every two
+documents of the node meet in one. A pair at the threshold t ends up
+together in a tree of depth d with probability t**d. There are so many trees that
+all miss it with a probability of ``MISSED`` at most even where every one of them
+has the greatest depth: 10 at 0.85, 14 at 0.8.
 
 Comparing a leaf takes two rounds. First every document meets the leader of its
 likes (b-bit sketches tell who is worth a comparison); links are confirmed on
 full sets and give components. Then each pair of the leaf that is still in
-different components is compared. Pairs within a component need no further
-link, so large groups of copies cost a linear number of comparisons.
+different components is compared. Pairs within a component need no further link.
+A cell that still has several components counts the intersections of its full
+sets as matrix products and returns at most one link a document, so the rows
+made stay linear in the documents of large groups; only arithmetic doesn't.
 
 Components are found by minimum labels with pointer jumping, round by round in
 the shared folder; nothing of the documents' size reaches the driver.
@@ -27,6 +30,7 @@ component; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +40,22 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TREES, LEVELS, LEAF = 8, 5, 48
+LEVELS, LEAF = 4, 48
+#: Shingles of a block, about: two blocks of a node that is over-full at the last level are compared at once.
+BLOCK = 1 << 20
+#: The most that the chance of missing a pair at the threshold may be.
+MISSED = 1e-3
 #: Of the sketch's bytes, the share that must agree for a comparison. At 0.85 it is 6 deviations below the mean.
 WORTH = 0.5
 
-_SALTS = common.mix(np.arange(1, TREES * LEVELS + 1, dtype=np.uint64) * common.MIX_A) | np.uint64(1)
+
+def trees_for(percent: int) -> int:
+    """The least number of trees that miss a pair at the threshold with ``MISSED`` at most, at the greatest depth."""
+    return max(1, math.ceil(math.log(MISSED) / math.log(1 - (min(percent, 99) / 100) ** LEVELS)))
+
+
+def _salts(trees: int) -> np.ndarray:
+    return common.mix(np.arange(1, trees * LEVELS + 1, dtype=np.uint64) * common.MIX_A) | np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -58,15 +73,17 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     return out
 
 
-def tokens_of(values: np.ndarray) -> np.ndarray:
+def tokens_of(values: np.ndarray, salts: np.ndarray) -> np.ndarray:
     """The minwise token of a set for every tree and level, 32 bits each."""
-    best = np.full(TREES * LEVELS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(values), 1 << 14):
-        best = np.minimum(best, (values[at : at + (1 << 14), None] * _SALTS[None, :]).min(axis=0))
+    best = np.full(len(salts), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(values), 1 << 13):
+        best = np.minimum(best, (values[at : at + (1 << 13), None] * salts[None, :]).min(axis=0))
     return (common.mix(best) >> np.uint64(32)).astype(np.uint32)
 
 
-def _facts(docs: DataFrame, shingle: int) -> DataFrame:
+def _facts(docs: DataFrame, shingle: int, trees: int) -> DataFrame:
+    salts = _salts(trees)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.by_size(batch):
@@ -74,7 +91,7 @@ def _facts(docs: DataFrame, shingle: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     one = [int(s.sum(dtype=np.uint64)) for s in sets]
                     two = [int(common.mix(s ^ common.MIX_B).sum(dtype=np.uint64)) for s in sets]
-                toks = [tokens_of(s).tobytes() if len(s) else None for s in sets]
+                toks = [tokens_of(s, salts).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(one, dtype=np.uint64).view(np.int64)), pa.array(np.array(two, dtype=np.uint64).view(np.int64)), pa.array(toks, pa.binary())],
                     names=["doc_id", "n_shingles", "s1", "s2", "tokens"],
@@ -83,27 +100,27 @@ def _facts(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(common.map_arrow, run, "doc_id long, n_shingles long, s1 long, s2 long, tokens binary")
 
 
-def _with_tree_paths(reps: DataFrame) -> DataFrame:
+def _with_tree_paths(reps: DataFrame, trees: int) -> DataFrame:
     """``rep, tree, node, tokens`` at the first level of every tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, TREES, LEVELS)
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, trees, LEVELS)
             n = len(raw)
-            tree = np.tile(np.arange(TREES, dtype=np.int32), n)
+            tree = np.tile(np.arange(trees, dtype=np.int32), n)
             node = common.mix(raw[:, :, 0].ravel().astype(np.uint64) + (tree.astype(np.uint64) << np.uint64(32)) + np.uint64(1 << 48))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), TREES)), pa.array(tree), pa.array(node.view(np.int64))], names=["rep", "tree", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), trees)), pa.array(tree), pa.array(node.view(np.int64))], names=["rep", "tree", "node"])
 
     return reps.select("rep", "tokens").transform(common.map_arrow, run, "rep long, tree int, node long")
 
 
-def _next_level(rows: DataFrame, level: int) -> DataFrame:
+def _next_level(rows: DataFrame, level: int, trees: int) -> DataFrame:
     """The child of each row's node that its document chooses at ``level``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tree = np.asarray(batch.column(1))
-            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint32).reshape(-1, TREES, LEVELS)
+            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint32).reshape(-1, trees, LEVELS)
             token = raw[np.arange(len(tree)), tree, level].astype(np.uint64)
             node = common.mix(np.asarray(batch.column(2)).view(np.uint64) ^ common.mix(token + np.uint64(level << 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64))], names=["rep", "tree", "node"])
@@ -111,28 +128,34 @@ def _next_level(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("rep", "tree", "node", "tokens").transform(common.map_arrow, run, "rep long, tree int, node long")
 
 
-def _leaves(reps: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """(members ``node, rep`` of leaves with at least two, pairs ``a, b`` that join the blocks of large nodes)."""
+def _cells(large: DataFrame, block: int) -> DataFrame:
+    """``node, rep`` of cells in which each two members of an over-full node ``node, rep, n_shingles`` meet."""
+    blocks = large.groupBy("node").agg(F.ceil(F.sum("n_shingles") / block).alias("blocks"))
+    own = large.join(blocks.hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("node", "rep"), "blocks"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> own or blocks = 1")
+    return other.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep")
+
+
+def _leaves(reps: DataFrame, leaf: int, trees: int, block: int) -> DataFrame:
+    """Members ``node, rep, cell`` of leaves with at least two, and of cells."""
     spark = reps.sparkSession
-    rows = _with_tree_paths(reps)
-    members, stars = None, spark.createDataFrame([], "a long, b long")
+    rows = _with_tree_paths(reps, trees)
+    members = None
     for level in range(LEVELS):
         rows = common.save(rows, f"level{level}")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"))
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         shared = common.save(rows.join(sizes.where("n > 1").hint("merge"), "node"), f"shared{level}")
         common.remove(spark, rows)
-        small = shared.where(F.col("n") <= leaf).select("node", "rep")
+        small = shared.where(F.col("n") <= leaf).select("node", "rep", F.lit(False).alias("cell"))
         members = small if members is None else members.unionByName(small)
         large = shared.where(F.col("n") > leaf)
         if large.isEmpty():
             break
         if level == LEVELS - 1:
-            block = F.pmod(F.xxhash64(F.lit(7), "rep"), F.ceil(F.col("n") / leaf))
-            members = members.unionByName(large.select(F.xxhash64("node", block).alias("node"), "rep"))
-            stars = large.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+            members = members.unionByName(_cells(large.join(reps.select("rep", "n_shingles"), "rep"), block).withColumn("cell", F.lit(True)))
         else:
-            rows = _next_level(large.join(reps.select("rep", "tokens"), "rep"), level + 1)
-    return members, stars
+            rows = _next_level(large.join(reps.select("rep", "tokens"), "rep"), level + 1, trees)
+    return members
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -180,6 +203,61 @@ def _open_pairs(leaves: DataFrame) -> DataFrame:
     return leaves.select("group").transform(common.map_arrow, run, "a long, b long").distinct()
 
 
+def links_of(sets: list[np.ndarray], of: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Positions of pairs at the threshold, as few as join all components ``of`` the sets that such pairs join."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = many[column] > 1
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], np.unique(column[order], return_inverse=True)[1]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(column))]) if len(column) else np.zeros(1, dtype=np.int64)
+    up = {int(c): int(c) for c in of}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for lo in range(0, n, 512):
+        hi = min(n, lo + 512)
+        both = np.zeros((hi - lo, n), dtype=np.float32)
+        for c in range(0, len(ends) - 1, 1024):
+            d = min(len(ends) - 1, c + 1024)
+            who, what = owner[ends[c] : ends[d]], column[ends[c] : ends[d]] - c
+            rows = np.unique(who)
+            mine = rows[(rows >= lo) & (rows < hi)]
+            if len(mine):
+                part = np.zeros((len(rows), d - c), dtype=np.float32)
+                part[np.searchsorted(rows, who), what] = 1
+                both[np.ix_(mine - lo, rows)] += part[np.searchsorted(rows, mine)] @ part.T
+        whole = both.astype(np.int64)
+        near = (100 * whole >= percent * (sizes[lo:hi, None] + sizes[None, :] - whole)) & (of[lo:hi, None] != of[None, :])
+        for i, j in zip(*np.nonzero(np.triu(near, lo + 1)), strict=True):
+            x, y = top(int(of[lo + i])), top(int(of[j]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((lo + int(i), int(j)))
+    return out
+
+
+def _cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links on full sets between the components of a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in batch.column(0):
+                rows = group.values
+                ids, of = (np.asarray(rows.field(c)) for c in ("rep", "component"))
+                pairs = links_of([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.field("values")], of, percent)
+                a, b = (np.array([ids[p[k]] for p in pairs], dtype=np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return cells.select("group").transform(common.map_arrow, run, "a long, b long").distinct()
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``rep, s1, values`` of the wanted representatives ``rep, s1``."""
 
@@ -246,30 +324,41 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return now
 
 
-def find(docs: DataFrame, *, shingle: int = 3, percent: int = 85, leaf: int = LEAF) -> DataFrame:
+def find(docs: DataFrame, *, shingle: int = 3, percent: int = 85, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     docs = common.columns_of(docs, "doc_id", "text")
-    facts = common.save(_facts(docs, shingle), "facts")
+    trees = trees_for(percent)
+    facts = common.save(_facts(docs, shingle, trees), "facts")
     usable = facts.where("doc_id is not null and n_shingles > 0")
     reps = common.save(usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens")), "reps")
-    members, stars = _leaves(reps.select("rep", "tokens"), leaf)
+    members = _leaves(reps.select("rep", "tokens", "n_shingles"), leaf, trees, block)
     members = common.save(members.join(reps.select("rep", "tokens"), "rep"), "members")
     grouped = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rep", "tokens"))).alias("group"))
-    first = common.save(_leaders(grouped).unionByName(stars).where("a <> b").distinct(), "pairs")
+    first = common.save(_leaders(grouped).where("a <> b"), "pairs")
     ends = first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).distinct()
     sets = common.save(_sets_of(docs, reps.select("rep", "s1").join(ends, "rep", "left_semi"), shingle), "sets")
     links = common.save(_confirm(first, sets, percent), "confirmed")
     # Rows that share an id are one document of the graph, whatever their sets.
     found = components(links)
-    label = members.join(found, "rep", "left").select("node", "rep", "tokens", F.coalesce("component", "rep").alias("component"))
-    mixed = label.groupBy("node").agg(F.collect_list(F.struct("rep", "component", "tokens")).alias("group"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    label = members.join(found, "rep", "left").select("node", "cell", "rep", "tokens", F.coalesce("component", "rep").alias("component"))
+    several = label.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node")
+    mixed = label.where("not cell").groupBy("node").agg(F.collect_list(F.struct("rep", "component", "tokens")).alias("group"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     second = common.save(_open_pairs(mixed).join(first, ["a", "b"], "left_anti"), "open")
-    more = common.save(_confirm(second, sets, percent), "confirmed")
+    cells = common.save(label.where("cell").select("node", "rep", "component").join(several.hint("merge"), "node"), "cells")
+    # The second round's documents whose sets the first one had no need of.
+    others = common.save(second.select(F.col("a").alias("rep")).unionByName(second.select(F.col("b").alias("rep"))).unionByName(cells.select("rep")).distinct().join(ends, "rep", "left_anti"), "others")
+    more_sets = common.save(_sets_of(docs, reps.select("rep", "s1").join(others, "rep", "left_semi"), shingle), "sets") if not others.isEmpty() else None
+    every = sets if more_sets is None else sets.unionByName(more_sets)
+    more = _confirm(second, every, percent)
+    if not cells.isEmpty():
+        groups = cells.join(every.hint("merge"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "component", "values")).alias("group"))
+        more = more.unionByName(_cell_links(groups, percent))
+    more = common.save(more, "confirmed")
     if not more.isEmpty():
         found = components(links.unionByName(more), found)
     of = reps.select("s1", "s2", "n_shingles", "rep").join(found, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    common.remove(spark, members, first, sets, second, more)
+    common.remove(spark, members, first, every, second, cells, others, more)
     out = facts.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("s1")).alias("s1"), "s2").join(of, ["s1", "s2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 

@@ -181,6 +181,50 @@ def test_near_dedup_large_groups(spark):
     same(near_dedup.find(df, leaf=8).collect(), near_dedup.brute_force(rows))
 
 
+@pytest.mark.parametrize("block", [20_000, near_dedup.BLOCK])
+def test_near_dedup_star_of_copies(spark, block):
+    # Copies are like their original, which isn't the first of them, but hardly like each other.
+    rng = np.random.default_rng(7)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(500, " ".join(base))]
+    for i in range(400):
+        words = list(base)
+        for j in rng.choice(200, 5, replace=False):
+            words[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(words)))
+    got = near_dedup.find(spark.createDataFrame(rows, "doc_id long, text string"), leaf=8, block=block)
+    same(got.collect(), near_dedup.brute_force(rows))
+    assert got.where("kept").count() < 10
+
+
+def test_near_dedup_links_of_full_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.choice(3000, k).astype(np.uint64)) for k in rng.integers(1, 2500, 600)] + [np.arange(i % 5, 2000, dtype=np.uint64) for i in range(9)]
+    of = np.arange(len(sets))
+    of[5] = 4
+    want, got = list(of), list(of)
+
+    def join(labels, i, j):
+        a, b = labels[i], labels[j]
+        labels[:] = [min(a, b) if x in (a, b) else x for x in labels]
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= 40 * (len(sets[i]) + len(sets[j]) - both):
+                join(want, i, j)
+    links = near_dedup.links_of(sets, of, 40)
+    for i, j in links:
+        join(got, i, j)
+    assert got == want and len(links) == len(set(of.tolist())) - len(set(want))
+
+
+def test_near_dedup_trees():
+    for percent in (80, 85, 95):
+        missed = (1 - (percent / 100) ** near_dedup.LEVELS) ** near_dedup.trees_for(percent)
+        assert missed <= near_dedup.MISSED
+
+
 def test_mixing(spark, docs, odd, empty):
     got = mixing.mix(docs)
     assert got.count() == docs.count()
