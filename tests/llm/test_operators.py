@@ -331,3 +331,16 @@ def test_pipeline(spark, sf_dir):
             assert {r["doc_id"] for r in step.select("doc_id").collect()} == keep
         if name == "substring_dedup":
             same([(i, hashlib.sha256(b" ".join((x or "").encode().split())).hexdigest()) for i, x in plain(step)], [(r[0], r[3]) for r in substring_dedup.brute_force(plain(before))])
+
+
+def test_pipeline_near_duplicates(spark, docs):
+    import corpus_pipeline
+
+    # A replaced passage: Jaccard of about 0.82, between the job's 0.8 and op7's 0.85.
+    words = [f"c{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:180] + [f"d{i}" for i in range(36)] + words[216:]))]
+    assert [r[3] for r in near_dedup.brute_force(rows)] == [True, True]
+    rows += plain(docs.where("doc_id > 2"))
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    keep = {i for i, _, _, kept in near_dedup.brute_force(rows, 5, 80) if kept}
+    assert {r["doc_id"] for r in got.collect()} == keep and 1 in keep and 2 not in keep
