@@ -1,17 +1,17 @@
 """Cross-entropy difference of matched n-gram models.
 
 A target model and a background model have one vocabulary (all words of both
-corpora and of the scored texts, A-Z lower-cased), one order (2), one smoothing
-and one cut-off: pairs of words that both corpora together hold less than
-``CUTOFF`` times have no bigram estimate. A word's probability after another is
-a mixture of its bigram estimate, its unigram estimate and the uniform one. Each
+corpora and of the scored texts, A-Z lower-cased), one order (2) and one
+smoothing; every pair of words counts, those held once too. A word's probability
+after another is a mixture of its bigram estimate, its unigram estimate and the
+uniform one. Each
 token of a document loses -log p under both; the mean of (background loss -
 target loss) over its tokens is the document's score: higher is nearer to the
 target.
 
 Counts cover every row and are exact, in a table that grows with the corpora.
-Words go by 32-bit hashes (of a million words, about a hundred pairs share one)
-and a pair by both, one long. The loss is that of the word without a bigram,
+Words go by 64-bit hashes b and w, and a pair by ``rotate(b, TURN) xor w``, which
+with w gives b back. The loss is that of the word without a bigram,
 plus a gain of the pair where it has one; both are computed once for each key.
 Keys that make up at least 1/``FREQUENT`` of all that are looked up, of which
 there can be no more than ``FREQUENT``, are broadcast and summed as texts are
@@ -38,8 +38,6 @@ from . import common
 
 #: Weights of the bigram, unigram and uniform estimates.
 MIXTURE = (0.5, 0.45, 0.05)
-#: Least occurrences of a pair that has a bigram estimate.
-CUTOFF = 2
 #: At most so many keys are broadcast, at 24 bytes each.
 FREQUENT = 1 << 17
 #: Slices of the other keys, joined one after the other: the disk holds one slice's shuffle at a time.
@@ -49,32 +47,37 @@ SCALE = 10**9
 #: Bytes of text whose pairs are counted at once.
 COUNTED_BYTES = 1 << 20
 #: Stands before a text's first word.
-START = 0x5851F42D
+START = np.uint64(0x5851F42D4C957F2D)
+#: Bits by which the left neighbour is rotated in a pair's key.
+TURN = 29
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's key (its word alone) and its pair's key (left neighbour above, word below); and the texts' offsets."""
+    """Each token's key (its word alone) and its pair's key; and the texts' offsets."""
     words = common.Words([t.lower() for t in texts])
-    w = np.maximum(words.hashes >> np.uint64(32), np.uint64(1))
+    w = words.hashes
     before = np.empty_like(w)
     before[1:] = w[:-1]
     before[words.offsets[:-1][np.diff(words.offsets) > 0]] = START
-    return w.view(np.int64), ((before << np.uint64(32)) | w).view(np.int64), words.offsets
+    turned = (before << np.uint64(TURN)) | (before >> np.uint64(64 - TURN))
+    return w.view(np.int64), (turned ^ w).view(np.int64), words.offsets
 
 
 def _counts(corpus: DataFrame, role: str, roles: str) -> DataFrame:
-    """``g`` and a column for each of ``roles``: the occurrences of words, text starts and pairs, in those that ``role`` lists."""
+    """``g, w`` and a column for each of ``roles``: the occurrences of words, text starts (both with a null ``w``) and pairs, in those that ``role`` lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.by_size(batch, most=COUNTED_BYTES):
                 word, pair, offsets = grams(common.byte_texts(part.column(0)))
-                starts = np.full(int((np.diff(offsets) > 0).sum()), START, dtype=np.int64)
-                g, n = np.unique(np.concatenate([word, pair, starts]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], names=["g", "many"])
+                starts = np.full(int((np.diff(offsets) > 0).sum()), START, dtype=np.uint64).view(np.int64)
+                g, n = np.unique(np.concatenate([word, starts]), return_counts=True)
+                p, first, m = np.unique(pair, return_index=True, return_counts=True)
+                w = pa.concat_arrays([pa.nulls(len(g), pa.int64()), pa.array(word[first])])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g, p])), w, pa.array(np.concatenate([n, m]).astype(np.int64))], names=["g", "w", "many"])
 
-    got = corpus.select("text").transform(common.map_arrow, run, "g long, many long")
-    return got.select("g", *[(F.col("many") if r in role else F.lit(0).cast("long")).alias(r) for r in roles])
+    got = corpus.select("text").transform(common.map_arrow, run, "g long, w long, many long")
+    return got.select("g", "w", *[(F.col("many") if r in role else F.lit(0).cast("long")).alias(r) for r in roles])
 
 
 def _probability(word: Column, total: int, vocabulary: int) -> Column:
@@ -89,15 +92,16 @@ def key_losses(docs: DataFrame, target: DataFrame, background: DataFrame | None
     rows = _counts(target, "t", roles).unionByName(_counts(docs, d, roles))
     if background is not None:
         rows = rows.unionByName(_counts(background, "n", roles))
-    is_word = F.col("g").between(1, (1 << 32) - 1)
-    counts = rows.groupBy("g").agg(*[F.sum(c).alias(c) for c in roles])
-    counts = common.save(counts.where(is_word | ((F.col(d) > 0) & (F.col("t") + F.col("n") >= CUTOFF))), "counts")
+    is_word, start = F.col("w").isNull(), int(START.view(np.int64))
+    counts = rows.groupBy("g", "w").agg(*[F.sum(c).alias(c) for c in roles])
+    counts = common.save(counts.where(is_word | ((F.col(d) > 0) & (F.col("t") + F.col("n") > 0))), "counts")
     words = counts.where(is_word)
-    total = words.where(F.col("g") != START).agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total = words.where(F.col("g") != start).agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     plain = {c: (lambda word, n=total[c] or 0: _probability(word, n, total["v"])) for c in "tn"}
     whole = lambda x: F.round(x * SCALE).cast("long")
-    alone = words.where((F.col("g") != START) & (F.col(d) > 0)).select("g", F.col(d).alias("d"), *[whole(-F.log(plain[c](F.col(c)))).alias(f"l{c}") for c in "tn"])
-    pairs = counts.where(~is_word).select("g", F.col(d).alias("d"), "t", "n", F.shiftrightunsigned("g", 32).alias("b"), F.col("g").bitwiseAND(F.lit((1 << 32) - 1)).alias("w"))
+    alone = words.where((F.col("g") != start) & (F.col(d) > 0)).select("g", F.col(d).alias("d"), *[whole(-F.log(plain[c](F.col(c)))).alias(f"l{c}") for c in "tn"])
+    turned = F.col("g").bitwiseXOR(F.col("w"))
+    pairs = counts.where(~is_word).select("g", F.col(d).alias("d"), "t", "n", F.shiftrightunsigned(turned, TURN).bitwiseOR(F.shiftleft(turned, 64 - TURN)).alias("b"), "w")
     both = pairs.join(words.select(F.col("g").alias("w"), F.col("t").alias("wt"), F.col("n").alias("wn")), "w").join(words.select(F.col("g").alias("b"), F.col("t").alias("bt"), F.col("n").alias("bn")), "b")
     gain = lambda c: whole(-F.log1p(F.lit(MIXTURE[0]) * F.col(c) / F.greatest(F.col(f"b{c}"), F.lit(1)) / plain[c](F.col(f"w{c}"))))
     losses = common.save(alone.unionByName(both.select("g", "d", gain("t").alias("lt"), gain("n").alias("ln"))).withColumnRenamed("ln", "lb"), "losses")
@@ -163,11 +167,9 @@ def brute_force(texts: list[str | None], target: list[str | None], background: l
     v = len({w for corpus in (*corpora, [p for x in texts for p in pairs(x)]) for _, w in corpus})
     models = [(Counter(c), Counter([w for _, w in c] + [b for b, _ in c if b == b" "]), len(c)) for c in corpora]
 
-    both = models[0][0] + models[1][0]
-
     def loss(model: tuple[Counter, Counter, int], b: bytes, w: bytes) -> float:
         pair, word, total = model
-        bi = pair[b, w] / max(1, word[b]) if both[b, w] >= CUTOFF else 0
+        bi = pair[b, w] / max(1, word[b])
         return -math.log(MIXTURE[0] * bi + MIXTURE[1] * (word[w] / total if total else 1 / v) + MIXTURE[2] / v)
 
     out = []

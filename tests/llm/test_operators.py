@@ -297,6 +297,15 @@ def test_lm_score(spark, docs, odd, empty, monkeypatch, frequent):
     assert lm_score.score(empty, empty).count() == 0
 
 
+def test_lm_score_counts_single_pairs(spark):
+    frame = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lm_score.score(frame("a b"), frame("a b"), frame("b a")).first()
+    # Both pairs stand once in the target and never in the background: 0.5 + 0.45 / 2 + 0.05 / 2, and the same without 0.5.
+    assert np.allclose([got["target_loss"], got["background_loss"]], [-np.log(0.75), -np.log(0.25)], atol=1e-8)
+    word, pair, _ = lm_score.grams([" ".join(f"v{i}" for i in range(300_000)).encode()])
+    assert len(np.unique(np.concatenate([word, pair]))) == 600_000
+
+
 def test_membership_filter_keeps_all_members(spark):
     rows = spark.range(20_000).select(F.col("id").alias("x"))
     got = common.with_members(rows, "x", rows.where("x % 10 = 0"))
