@@ -43,6 +43,13 @@ def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     return rows.withColumnRenamed("doc_id", "a").join(right, ["band", "v"]).where((F.col("a") < F.col("b")) & (d <= distance)).select("a", "b", d.alias("distance")).distinct()
 
 
+def near_rows(prints: DataFrame, distance: int = 3) -> DataFrame:
+    """``near_pairs`` and, at distance 0, a row of each other document with the smallest id of its fingerprint: linear in the documents."""
+    one = prints.groupBy("h").agg(F.min("doc_id").alias("a"))
+    members = prints.join(one.hint("merge"), "h").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("distance"))
+    return near_pairs(prints, distance).unionByName(members)
+
+
 def greedy(docs: DataFrame, distance: int = 3, rounds: int = 30) -> DataFrame:
     """``doc_id, kept``: in order of id, a document stays unless it is near one that stayed. Rounds settle chains."""
     prints = fingerprints(docs)

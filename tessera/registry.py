@@ -307,7 +307,7 @@ _docs("cjk_bigrams", lambda d: d.select("doc_id", F.size(text.cjk_bigrams("text"
 _docs("dedup_exact", dedup.exact, "select doc_id, md5(text) content_hash, min(doc_id) over (partition by md5(text)) first_id, doc_id <> min(doc_id) over (partition by md5(text)) is_duplicate from documents")
 _docs("dedup_stats", lambda d: dedup.stats(dedup.exact(d)), "select count(*) documents, count(*) - count(distinct md5(text)) duplicates, count(distinct md5(text)) texts from documents")
 _docs("simhash", dedup.fingerprints)
-_docs("near_dup_pairs", lambda d: dedup.near_pairs(dedup.fingerprints(d)))
+_docs("near_dup_pairs", lambda d: dedup.near_rows(dedup.fingerprints(d)))
 _docs("validate_rows", lambda d: articles.issues(d.withColumnRenamed("source", "title"), "doc_id", "title", "text"), "select doc_id, issue from (select doc_id, unnest([case when coalesce(trim(source), '') = '' then 'missing_title' when length(trim(source)) < 2 then 'title_too_short' end, case when coalesce(trim(text), '') = '' then 'missing_content' when length(trim(text)) < 20 then 'content_too_short' end]) issue from documents) where issue is not null")
 _docs("corpus_build", lambda d: articles.build_corpus(d.select("doc_id", "text", "source", F.col("source").alias("title"), F.col("text").alias("url")), order="doc_id", most_per_source=20).select("doc_id", "title"), "select doc_id, title from (select *, row_number() over (partition by title order by doc_id) k from (select *, row_number() over (partition by title, lower(trim(text, ' ')) order by doc_id) r from (select doc_id, trim(source) title, trim(text, ' ') text from documents where length(trim(source)) >= 2 and length(trim(text, ' ')) >= 20)) where r = 1) where k <= 20")
 _on("iso_dates", "orders", lambda o: o.select("o_orderkey", articles.iso_date(F.date_format("o_orderdate", "yyyy/M/d")).alias("day")), "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') \"day\" from orders")

@@ -37,3 +37,18 @@ def test_query(spark, sf_dir, duck, name):
     want = sorted((tuple(r) for r in rel.project(", ".join(f'"{c}"' for c in cols)).fetchall()), key=repr)
     assert len(got) == len(want)
     assert got == want
+
+
+def test_near_dup_pairs_have_every_copy(spark, sf_dir):
+    from tessera.operators import dedup
+
+    prints = [tuple(r) for r in dedup.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "h").collect()]
+    first = {}
+    for i, h in sorted(prints):
+        first.setdefault(h, i)
+    ids = sorted((i, h) for h, i in first.items())
+    want = [(first[h], i, 0) for i, h in prints if i != first[h]]
+    assert want
+    want += [(a, b, d) for k, (a, x) in enumerate(ids) for b, y in ids[k + 1 :] if (d := ((x ^ y) & (2**64 - 1)).bit_count()) <= 3]
+    got = registry.queries()["near_dup_pairs"](spark, sf_dir)
+    assert sorted(map(tuple, got.select("a", "b", "distance").collect())) == sorted(want)
