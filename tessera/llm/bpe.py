@@ -2,14 +2,20 @@
 
 A text is cut after words whose rolling hash (of the last two words) meets a
 mask, so that texts that share a passage share its chunks. A chunk is encoded
-once a worker and kept; a new chunk is put together from words, each encoded
-once by the tokenizer itself. Where two chunks meet, the words beside the cut
-are encoded together and compared with their separate ids; while they differ,
-more words are taken in on both sides until the ids agree, at most up to both
-chunks, and the ids of that stretch replace the separate ones.
+once a worker and kept. Where two chunks meet, the words beside the cut are
+encoded together, with what stands between them, and compared with their separate
+ids; chunks whose joins differ are joined and encoded anew by the library, until
+all joins that are left agree.
 
-The caches are exact (keyed by the bytes) and bounded: two generations of
-``chunks`` and ``words`` entries at most.
+How a new chunk is encoded depends on the tokenizer. One that drops white space
+and never lets a token span it (``_words_apart`` probes that) gives a chunk the
+ids of its words, each encoded once and kept. Any other encodes a chunk whole,
+white space before its first word included. Words are encoded by the library; for
+plain ones (letters below U+0300, a full stop or comma after them) only its model
+is called, with the letters as its normalizer and byte-level step would give them,
+if the tokenizer's results for ``PROBES`` are the same that way (``_plain_words``).
+
+The caches are exact (keyed by the bytes) and bounded; a full one is emptied.
 
 Decoding joins the tokens of the ids by a space where the tokenizer file names
 no decoder, as its library does, and calls the library otherwise.
@@ -23,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -36,8 +43,18 @@ from . import common
 
 #: A cut falls after one word in so many, on average.
 CHUNK_WORDS = 64
-#: Entries of each cache generation, and the longest word kept.
-CHUNKS, WORDS, LONGEST = 10_000, 250_000, 80
+#: Entries of each cache, and the longest word and chunk (in bytes) kept.
+CHUNKS, WORDS, JOINS, LONGEST, LONGEST_CHUNK = 20_000, 400_000, 100_000, 80, 1 << 14
+# Words of each kind of character, for probing a tokenizer.
+PROBES = ("a", "Word", "it's", "'t", "don't", "x1", "2024", "7", "...", "-", "(a)", "é", "Ünder", "日本", "a_b", "<|", "|>", "\u00a0b", "e\u0301")
+
+
+#: A plain word: letters below U+0300, then one mark or none.
+_PLAIN = re.compile("([" + "".join(chr(c) for c in range(0x300) if chr(c).isalpha()) + "]+)([.,]?)")
+#: The byte-level step: bytes that print stand for themselves, the others for the characters from U+0100 on, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(0x100)) - set(_PRINTED)))}
+_BLANK = b"\t\n\x0b\x0c\r "
 
 
 def little_endian(ids: list[int]) -> bytes:
@@ -47,24 +64,16 @@ def little_endian(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-class Generations(dict):
-    """A bounded cache: when ``most`` entries are new, those before them are forgotten."""
+class Bounded(dict):
+    """A cache that is emptied when it holds more than ``most`` entries."""
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is not None:
-            self[key] = value
-        return value
+        self.most = most
 
-    def put(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
+    def trim(self) -> None:
+        if len(self) > self.most:
             self.clear()
-        self[key] = value
 
 
 class ChunkEncoder:
@@ -80,14 +89,26 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             self.plain = json.load(f)["decoder"] is None
-        self.words, self.chunks = Generations(WORDS), Generations(CHUNKS)
-        self.joins_seen = self.joins_repaired = 0
-
-    def _encodings(self, texts: list[bytes]) -> list:
-        return self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-
-    def _library(self, texts: list[bytes]) -> list[bytes]:
-        return [little_endian(e.ids) for e in self._encodings(texts)]
+        self.ids, self.decoded = Bounded(WORDS), Bounded(WORDS)  # of words
+        self.chunks, self.joins = Bounded(CHUNKS), Bounded(JOINS)
+        self.chunks_seen = self.chunks_reused = self.joins_seen = self.joins_repaired = 0
+        self.apart = self._words_apart()
+        self.stems = Bounded(WORDS)
+        self.token = [(self.tokenizer.id_to_token(i) or "").encode() + b" " if self.plain else b"" for i in range(self.tokenizer.get_vocab_size())]
+        self.by_model = self.apart and self._plain_words()
+
+    def _words_apart(self) -> bool:
+        """Whether words that white space parts have the ids that they have alone."""
+        alone = [i for i, _ in self._library([p.encode() for p in PROBES])]
+        gaps = [" ", "\n", "\t ", "  \r\n"]
+        pairs = [(i, j, g) for i in range(len(PROBES)) for j in range(len(PROBES)) for g in gaps]
+        both = self._library([f"{PROBES[i]}{g}{PROBES[j]}".encode() for i, j, g in pairs])
+        return all(got == alone[i] + alone[j] for (i, j, _), (got, _) in zip(pairs, both, strict=True))
+
+    def _library(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(ids, each token with a space after it) of each text, by the library."""
+        got = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False) if texts else []
+        return [(little_endian(e.ids), (" ".join(e.tokens) + " ").encode() if self.plain and len(e) else b"") for e in got]
 
     def decode(self, ids: bytes) -> bytes:
         numbers = np.frombuffer(ids, dtype="<u4").tolist()
@@ -95,86 +116,122 @@ class ChunkEncoder:
             return self.tokenizer.decode(numbers, skip_special_tokens=False).encode()
         return " ".join(map(self.tokenizer.id_to_token, numbers)).encode()
 
-    def _know(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """(ids, decoded) of each word; the new ones in one call of the library."""
-        got, new, cache = {}, [], self.words
+    def _stem(self, stem: str) -> tuple[bytes, bytes]:
+        """(ids, tokens) of a plain word's letters, by the tokenizer's model alone."""
+        got = self.stems.get(stem)
+        if got is None:
+            ids = [t.id for t in self.tokenizer.model.tokenize(stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTES))]
+            got = self.stems[stem] = (little_endian(ids), b"".join([self.token[i] for i in ids]))
+        return got
+
+    def _plain_words(self) -> bool:
+        """Whether the model alone gives the library's results for the plain words among the probes."""
+        probes = [p.encode() for p in (*PROBES, "straße", "Æon.", "été,", "ǅ", "Þing", "unbelievably,", "OK.") if _PLAIN.fullmatch(p.lower())]
+        tails = {m: self._library([m.encode()])[0] for m in (".", ",")}
+        for p, want in zip(probes, self._library(probes), strict=True):
+            stem, tail = _PLAIN.fullmatch(p.decode().lower()).groups()
+            got = self._stem(stem)
+            if tail:
+                got = (got[0] + tails[tail][0], got[1] + tails[tail][1])
+            if got != want:
+                return False
+        self.tails = tails
+        return True
+
+    def _know(self, words: set[bytes]) -> None:
+        """Encode the words that no cache holds."""
+        known, rest = self.ids, []
         for w in words:
-            v = cache[w]
-            if v is None:
-                new.append(w)
+            if w in known:
+                continue
+            m = _PLAIN.fullmatch(w.decode("utf-8", "replace").lower()) if self.by_model else None
+            if m is None:
+                rest.append(w)
+                continue
+            stem, tail = m.groups()
+            ids, decoded = self._stem(stem)
+            if tail:
+                ids, decoded = ids + self.tails[tail][0], decoded + self.tails[tail][1]
+            self.ids[w], self.decoded[w] = ids, decoded
+        for w, (ids, decoded) in zip(rest, self._library(rest), strict=True):
+            self.ids[w], self.decoded[w] = ids, decoded
+
+    def _encode_chunks(self, keys: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        here: dict[bytes, tuple[bytes, bytes]] = {}
+        new = []
+        for k in set(keys):
+            value = self.chunks.get(k)
+            if value is None:
+                new.append(k)
             else:
-                got[w] = v
-        for w, e in zip(new, self._encodings(new) if new else [], strict=True):
-            v = got[w] = (little_endian(e.ids), " ".join(e.tokens).encode())  # an id's token is what decoding gives
-            if len(w) <= LONGEST:
-                cache.put(w, v)
-        return got
+                here[k] = value
+        self.chunks_seen += len(keys)
+        self.chunks_reused += len(keys) - len(new)
+        if self.apart:
+            split = [k.split() for k in new]
+            self._know(set().union(*split))
+            ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
+            got = [(b"".join(map(ids, ws)), b"".join(map(decoded, ws))) for ws in split]
+        else:
+            got = self._library(new)
+        for k, v in zip(new, got, strict=True):
+            here[k] = v
+            if len(k) <= LONGEST_CHUNK:
+                self.chunks[k] = v
+        return here
+
+    def _agree(self, joins: list[tuple[bytes, bytes, bytes]]) -> list[bool]:
+        """Whether each (word, what stands between, word) has the ids of its words apart."""
+        new = [j for j in set(joins) if j not in self.joins]
+        if new:
+            ends = [(a, c) if self.apart else (a, b + c) for a, b, c in new]
+            together = self._library([a + b + c for a, b, c in new])
+            if self.apart:
+                self._know({w for e in ends for w in e})
+                alone = [self.ids[a] + self.ids[c] for a, c in ends]
+            else:
+                sides = self._library([w for e in ends for w in e])
+                alone = [sides[2 * i][0] + sides[2 * i + 1][0] for i in range(len(ends))]
+            for j, (t, _), x in zip(new, together, alone, strict=True):
+                self.joins[j] = t == x
+        self.joins_seen += len(joins)
+        return [self.joins[j] for j in joins]
 
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text."""
         words = common.Words(texts)
+        data, starts, ends, offsets = words.data, words.starts, words.ends, words.offsets
         pair = np.concatenate([words.hashes[:1], common.sequence_hashes(words.hashes, 2)])
-        cut = pair % np.uint64(CHUNK_WORDS) == 0
-        ends = np.flatnonzero(cut) + 1
-        bounds = np.unique(np.concatenate([ends, words.offsets]))
-        spans = [(int(a), int(b)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        keys = [words.data[words.starts[a] : words.ends[b - 1]] for a, b in spans]
-        here: dict[bytes, tuple[bytes, bytes] | None] = {k: self.chunks[k] for k in keys}
-        new = {k: k.split() for k, v in here.items() if v is None}
-        known = self._know({w for ws in new.values() for w in ws})
-        for k, ws in new.items():
-            got = [known[w] for w in ws]
-            here[k] = (b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[0]]))
-            if len(k) <= 32 * CHUNK_WORDS:
-                self.chunks.put(k, here[k])
-        repaired = self._repairs(words, spans)
-        out, at = [], 0
-        for i in range(len(texts)):
-            parts = []
-            while at < len(spans) and spans[at][1] <= words.offsets[i + 1]:
-                parts.append(here[keys[at]])
-                at += 1
-            broken = i in repaired
-            ids = repaired[i] if broken else b"".join([p[0] for p in parts])
-            text = self.decode(ids) if broken or not self.plain else b" ".join([p[1] for p in parts if p[0]])
-            out.append((ids, text))
-        return out
-
-    def _repairs(self, words: common.Words, spans: list[tuple[int, int]]) -> dict[int, bytes]:
-        """Encode the words beside each cut together; the ids of texts where that differs from apart."""
-        inside = set(words.offsets.tolist())
-        cuts = [a for a, _ in spans if a not in inside]
-        if not cuts:
-            return {}
-        self.joins_seen += len(cuts)
-        piece = lambda a, b: words.data[words.starts[a] : words.ends[b - 1]]
-        together = self._library([piece(a - 1, a + 1) for a in cuts])
-        apart = self._know({w for a in cuts for w in (piece(a - 1, a), piece(a, a + 1))})
-        bad = [a for a, t in zip(cuts, together, strict=True) if t != apart[piece(a - 1, a)][0] + apart[piece(a, a + 1)][0]]
-        out: dict[int, bytes] = {}
-        for i in sorted({int(np.searchsorted(words.offsets, a, side="right")) - 1 for a in bad}):
-            lo, hi = int(words.offsets[i]), int(words.offsets[i + 1])
-            merged: list[tuple[int, int]] = []
-            for a in (x for x in bad if lo < x < hi):
-                reach = 1
-                while True:  # a wider stretch, until its ids are those of its two ends apart
-                    reach *= 2
-                    left, right = max(lo, a - reach), min(hi, a + reach)
-                    whole, ends = self._library([piece(left, right)])[0], self._library([piece(left, left + 1), piece(right - 1, right)])
-                    if (left, right) == (lo, hi) or whole.startswith(ends[0]) and whole.endswith(ends[1]):
-                        break
-                if merged and left < merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(right, merged[-1][1]))
-                else:
-                    merged.append((left, right))
-            self.joins_repaired += len(merged)
-            parts, at = [], lo
-            for left, right in [*merged, (hi, hi)]:
-                got = self._know({piece(j, j + 1) for j in range(at, left)})
-                parts += [got[piece(j, j + 1)][0] for j in range(at, left)]
-                parts += self._library([piece(left, right)]) if right > left else []
-                at = right
-            out[i] = b"".join(parts)
+        cuts = np.setdiff1d(np.flatnonzero(pair % np.uint64(CHUNK_WORDS) == 0) + 1, offsets)  # words before which a chunk begins
+        of = np.searchsorted(offsets, cuts, side="right") - 1
+        edges, at = [], 0
+        for i, t in enumerate(texts):  # byte positions between which a text's chunks lie
+            edges.append([at, *ends[cuts[np.searchsorted(of, i) : np.searchsorted(of, i, side="right")] - 1].tolist(), at + len(t)])
+            at += len(t) + 1
+        piece = (lambda a, b: data[a:b].strip(_BLANK)) if self.apart else (lambda a, b: data[a:b])
+        keys = [[piece(a, b) for a, b in zip(e[:-1], e[1:], strict=True)] for e in edges]
+        here = self._encode_chunks([k for ks in keys for k in ks])
+        l0, l1, r0, r1 = (x.tolist() for x in (starts[cuts - 1], ends[cuts - 1], starts[cuts], ends[cuts]))
+        agreed = iter(self._agree([(data[a:b], data[b:c], data[c:d]) for a, b, c, d in zip(l0, l1, r0, r1, strict=True)]))
+        out = []
+        for e, ks in zip(edges, keys, strict=True):
+            good = [next(agreed) for _ in e[1:-1]]
+            if all(good):
+                parts = [here[k] for k in ks]
+            else:
+                self.joins_repaired += good.count(False)
+                keep = [e[0], *[x for x, g in zip(e[1:-1], good, strict=True) if g], e[-1]]
+                whole = [piece(a, b) for a, b in zip(keep[:-1], keep[1:], strict=True)]
+                again = dict(zip(whole, self._library(whole), strict=True))
+                parts = [again[w] for w in whole]
+            ids = b"".join([p[0] for p in parts])
+            out.append((ids, b"".join([p[1] for p in parts])[:-1] if self.plain else self.decode(ids)))
+        for w in {data[starts[i] : ends[i]] for i in np.flatnonzero(ends - starts > LONGEST).tolist()} if self.apart else ():
+            self.ids.pop(w, None)
+            self.decoded.pop(w, None)
+            self.stems.pop(w.decode("utf-8", "replace").lower().rstrip(".,"), None)
+        for cache in (self.ids, self.decoded, self.stems, self.chunks, self.joins):
+            cache.trim()
         return out
 
 
