@@ -9,14 +9,22 @@ token of a document loses -log p under both; the mean of (background loss -
 target loss) over its tokens is the document's score: higher is nearer to the
 target.
 
-Counts cover every row and are exact, in a table that grows with the corpora.
-Words go by 64-bit hashes b and w, and a pair by ``rotate(b, TURN) xor w``, which
-with w gives b back. The loss is that of the word without a bigram,
-plus a gain of the pair where it has one; both are computed once for each key.
-Keys that make up at least 1/``FREQUENT`` of all that are looked up, of which
-there can be no more than ``FREQUENT``, are broadcast and summed as texts are
-read; so no key of the join that scores the others is hot. Losses are whole
-numbers of 1e-9, so that sums don't depend on an order.
+Counts cover every row and are exact but for collisions of 64-bit hashes of words
+and of pairs. They travel in packed messages instead of rows:
+
+1. Texts become blocks of about ``BLOCK_BYTES``: the distinct words of a block and
+   its tokens as places in that list. Blocks are a scratch table, compressed.
+2. A block's distinct words and pairs, counted, are sorted and cut by ranges of
+   the hash into buckets; each (block, bucket) is one message. The block has
+   summed its own, so a word or pair of all texts comes once a block.
+3. A bucket adds up what its blocks sent, and answers each scored block with the
+   places of the keys whose totals differ from what the block itself counted, and
+   those totals. A pair that one block alone holds needs no answer.
+4. A block and its answers meet again; losses are whole numbers of 1e-9 for each
+   distinct pair and are summed by document, so sums don't depend on an order.
+
+The number of buckets follows the number of tokens, so that a bucket has about
+``BUCKET_KEYS`` keys whatever the input; there are never more messages than keys.
 
 Defined results: null and empty texts have no tokens, null losses and score 0;
 equal texts get equal values; an empty corpus gives the uniform model; ids may be
@@ -26,87 +34,183 @@ null or repeated, one result a row; other columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Weights of the bigram, unigram and uniform estimates.
 MIXTURE = (0.5, 0.45, 0.05)
-#: At most so many keys are broadcast, at 24 bytes each.
-FREQUENT = 1 << 17
-#: Slices of the other keys, joined one after the other: the disk holds one slice's shuffle at a time.
-SLICES = 3
 #: Losses are kept as multiples of 1 / SCALE.
 SCALE = 10**9
-#: Bytes of text whose pairs are counted at once.
-COUNTED_BYTES = 1 << 20
+#: Bytes of text and rows of a block, besides a longer text; keys of a bucket, about.
+BLOCK_BYTES, BLOCK_ROWS, BUCKET_KEYS = 16 << 20, 1 << 17, 1_500_000
 #: Stands before a text's first word.
 START = np.uint64(0x5851F42D4C957F2D)
 #: Bits by which the left neighbour is rotated in a pair's key.
 TURN = 29
 
+BLOCK_SCHEMA = "block long, t int, n int, scored boolean, doc_ids array<long>, tokens long, texts long, lengths binary, words binary, places binary"
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array's bytes, those of equal weight together, compressed."""
+    raw = np.ascontiguousarray(values)
+    planes = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, raw.itemsize).T).tobytes() if len(raw) else b""
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's key (its word alone) and its pair's key; and the texts' offsets."""
-    words = common.Words([t.lower() for t in texts])
-    w = words.hashes
-    before = np.empty_like(w)
-    before[1:] = w[:-1]
-    before[words.offsets[:-1][np.diff(words.offsets) > 0]] = START
-    turned = (before << np.uint64(TURN)) | (before >> np.uint64(64 - TURN))
-    return w.view(np.int64), (turned ^ w).view(np.int64), words.offsets
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind) if size else np.zeros(0, dtype=kind)
 
 
-def _counts(corpus: DataFrame, role: str, roles: str) -> DataFrame:
-    """``g, w`` and a column for each of ``roles``: the occurrences of words, text starts (both with a null ``w``) and pairs, in those that ``role`` lists."""
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of ascending values; ``np.cumsum`` undoes it."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def _blocks(corpus: DataFrame, t: int, n: int, scored: bool) -> DataFrame:
+    """Blocks of ``corpus(doc_id, text)``, counted ``t`` times for the target and ``n`` times for the background."""
+    most = BLOCK_BYTES
+
+    def block(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        words = common.Words([x.lower() for x in texts])
+        distinct, place, many = np.unique(words.hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-many, kind="stable")  # frequent words have small places, which compress well
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        lengths = np.diff(words.offsets).astype(np.uint32)
+        row = [uuid.uuid4().int >> 65, t, n, scored, ids if scored else [], len(place), int((lengths > 0).sum()), pack(lengths), pack(distinct[order]), pack(rank[place])]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, held = [], [], 0
         for batch in batches:
-            for part in common.by_size(batch, most=COUNTED_BYTES):
-                word, pair, offsets = grams(common.byte_texts(part.column(0)))
-                starts = np.full(int((np.diff(offsets) > 0).sum()), START, dtype=np.uint64).view(np.int64)
-                g, n = np.unique(np.concatenate([word, starts]), return_counts=True)
-                p, first, m = np.unique(pair, return_index=True, return_counts=True)
-                w = pa.concat_arrays([pa.nulls(len(g), pa.int64()), pa.array(word[first])])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g, p])), w, pa.array(np.concatenate([n, m]).astype(np.int64))], names=["g", "w", "many"])
+            for i, x in zip(batch.column(0).to_pylist(), common.byte_texts(batch.column(1)), strict=True):
+                if ids and (held + len(x) > most or len(ids) >= BLOCK_ROWS):
+                    yield block(ids, texts)
+                    ids, texts, held = [], [], 0
+                ids.append(i)
+                texts.append(x)
+                held += len(x)
+        if ids:
+            yield block(ids, texts)
 
-    got = corpus.select("text").transform(common.map_arrow, run, "g long, w long, many long")
-    return got.select("g", "w", *[(F.col("many") if r in role else F.lit(0).cast("long")).alias(r) for r in roles])
+    return corpus.transform(common.map_arrow, run, BLOCK_SCHEMA)
 
 
-def _probability(word: Column, total: int, vocabulary: int) -> Column:
-    uniform = 1.0 / max(1, vocabulary)
-    return F.lit(MIXTURE[1]) * (word / F.lit(float(total)) if total else F.lit(uniform)) + F.lit(MIXTURE[2] * uniform)
+class Grams:
+    """A block's words, tokens and distinct pairs, each pair with its left word's place (-1: it begins a text) and its word's."""
 
+    def __init__(self, lengths: bytes, words: bytes, places: bytes):
+        self.lengths, self.words, self.places = unpack(lengths, np.uint32).astype(np.int64), unpack(words, np.uint64), unpack(places, np.uint32).astype(np.int64)
+        self.many = np.bincount(self.places, minlength=len(self.words))
+        left = np.empty_like(self.places)
+        left[1:] = self.places[:-1]
+        ends = np.cumsum(self.lengths)
+        left[(ends - self.lengths)[self.lengths > 0]] = -1
+        before = np.append(self.words, START)[left]
+        pair = common.mix(((before << np.uint64(TURN)) | (before >> np.uint64(64 - TURN))) ^ self.words[self.places])
+        self.pairs, first, self.pair_of, self.pairs_many = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+        self.left, self.right = left[first], self.places[first]
+        self.order = np.argsort(self.words, kind="stable")  # words by their hash
 
-def key_losses(docs: DataFrame, target: DataFrame, background: DataFrame | None = None) -> DataFrame:
-    """``g, d, lt, lb``: each key's occurrences in ``docs`` and its part of both losses, as a scratch table."""
-    spark = docs.sparkSession
-    roles, d = ("tn", "n") if background is None else ("tnd", "d")
-    rows = _counts(target, "t", roles).unionByName(_counts(docs, d, roles))
-    if background is not None:
-        rows = rows.unionByName(_counts(background, "n", roles))
-    is_word, start = F.col("w").isNull(), int(START.view(np.int64))
-    counts = rows.groupBy("g", "w").agg(*[F.sum(c).alias(c) for c in roles])
-    counts = common.save(counts.where(is_word | ((F.col(d) > 0) & (F.col("t") + F.col("n") > 0))), "counts")
-    words = counts.where(is_word)
-    total = words.where(F.col("g") != start).agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    plain = {c: (lambda word, n=total[c] or 0: _probability(word, n, total["v"])) for c in "tn"}
-    whole = lambda x: F.round(x * SCALE).cast("long")
-    alone = words.where((F.col("g") != start) & (F.col(d) > 0)).select("g", F.col(d).alias("d"), *[whole(-F.log(plain[c](F.col(c)))).alias(f"l{c}") for c in "tn"])
-    turned = F.col("g").bitwiseXOR(F.col("w"))
-    pairs = counts.where(~is_word).select("g", F.col(d).alias("d"), "t", "n", F.shiftrightunsigned(turned, TURN).bitwiseOR(F.shiftleft(turned, 64 - TURN)).alias("b"), "w")
-    both = pairs.join(words.select(F.col("g").alias("w"), F.col("t").alias("wt"), F.col("n").alias("wn")), "w").join(words.select(F.col("g").alias("b"), F.col("t").alias("bt"), F.col("n").alias("bn")), "b")
-    gain = lambda c: whole(-F.log1p(F.lit(MIXTURE[0]) * F.col(c) / F.greatest(F.col(f"b{c}"), F.lit(1)) / plain[c](F.col(f"w{c}"))))
-    losses = common.save(alone.unionByName(both.select("g", "d", gain("t").alias("lt"), gain("n").alias("ln"))).withColumnRenamed("ln", "lb"), "losses")
-    common.remove(spark, counts)
-    return losses
+
+def _cuts(keys: np.ndarray, buckets: int) -> list[int]:
+    """Where each bucket's part of the sorted keys ends."""
+    return np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)).tolist() + [len(keys)]
+
+
+def _messages(blocks: DataFrame, buckets: int) -> DataFrame:
+    """What each block sends to each bucket: its words and pairs of that range, and how often it holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                g = Grams(r["lengths"], r["words"], r["places"])
+                words, many = g.words[g.order], g.many[g.order]
+                rows: list[tuple] = []
+                a = c = held = 0
+                for k, (b, d) in enumerate(zip(_cuts(words, buckets), _cuts(g.pairs, buckets), strict=True)):
+                    if b > a or d > c:
+                        packed = [pack(_steps(words[a:b])), pack(many[a:b].astype(np.uint32)), pack(_steps(g.pairs[c:d])), pack(g.pairs_many[c:d].astype(np.uint32))]
+                        rows.append((k, r["block"], r["t"], r["n"], r["scored"], *packed))
+                        held += sum(map(len, packed))
+                    a, c = b, d
+                    if rows and (held > common.BATCH_BYTES or k == buckets - 1):
+                        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], names=names)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()] + [pa.binary()] * 4
+    names = ["bucket", "block", "t", "n", "scored", "words", "many", "pairs", "pairs_many"]
+    return blocks.select("block", "t", "n", "scored", "lengths", "words", "places").transform(common.map_arrow, run, "bucket int, block long, t int, n int, scored boolean, words binary, many binary, pairs binary, pairs_many binary")
+
+
+def _totals(keys: list[np.ndarray], many: list[np.ndarray], t: list[int], n: list[int]) -> tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The number of distinct keys; for each message the places, and both totals there, of keys that others hold too."""
+    sizes = [len(k) for k in keys]
+    every = np.concatenate(keys)
+    one, at = np.unique(every, return_inverse=True)
+    own = [np.concatenate([m.astype(np.int64) * r for m, r in zip(many, role, strict=True)]) for role in (t, n)]
+    total = []
+    for x in own:
+        total.append(np.bincount(at, weights=x, minlength=len(one)).astype(np.int64)[at])  # exact up to 2**53
+    news = (total[0] != own[0]) | (total[1] != own[1])
+    out, lo = [], 0
+    for size in sizes:
+        p = np.flatnonzero(news[lo : lo + size])
+        out.append((p, total[0][lo + p], total[1][lo + p]))
+        lo += size
+    return len(one), out
+
+
+def _answers(messages: DataFrame) -> DataFrame:
+    """``block, bucket, vocabulary`` and packed places and totals; a row with a null block has the bucket's number of words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        t, n = [r["t"] for r in rows], [r["n"] for r in rows]
+        words, of_words = _totals([np.cumsum(unpack(r["words"], np.uint64), dtype=np.uint64) for r in rows], [unpack(r["many"], np.uint32) for r in rows], t, n)
+        _, of_pairs = _totals([np.cumsum(unpack(r["pairs"], np.uint64), dtype=np.uint64) for r in rows], [unpack(r["pairs_many"], np.uint32) for r in rows], t, n)
+        out: list[tuple] = [(None, rows[0]["bucket"], words, *[None] * 6)]
+        for r, w, p in zip(rows, of_words, of_pairs, strict=True):
+            if r["scored"] and (len(w[0]) or len(p[0])):
+                packed = [pack(x) for places, a, b in (w, p) for x in (_steps(places.astype(np.uint32)), a, b)]
+                out.append((r["block"], r["bucket"], None, *packed))
+        return pa.table({c: pa.array([x[i] for x in out], k) for i, (c, k) in enumerate(zip(names, [pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * 6, strict=True))})
+
+    names = ["block", "bucket", "vocabulary", "words", "words_t", "words_n", "pairs", "pairs_t", "pairs_n"]
+    return messages.groupBy("bucket").applyInArrow(run, "block long, bucket int, vocabulary long, " + ", ".join(f"{c} binary" for c in names[3:]))
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * SCALE).astype(np.int64)
+
+
+def losses_of(g: Grams, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], totals: tuple[int, int], starts: tuple[int, int], vocabulary: int) -> list[np.ndarray]:
+    """Each document's summed loss under both models, from the totals of the block's words and pairs."""
+    uniform, out = 1.0 / max(1, vocabulary), []
+    for word, pair, total, start in zip(words, pairs, totals, starts, strict=True):
+        plain = MIXTURE[1] * (word / total if total else np.full(len(word), uniform)) + MIXTURE[2] * uniform
+        left = np.append(word, start)[g.left]
+        gain = np.log1p(MIXTURE[0] * pair / np.maximum(left, 1) / plain[g.right])
+        loss = _whole(-np.log(plain))[g.right] - _whole(gain)
+        up = np.zeros(len(g.pair_of) + 1, dtype=np.int64)
+        np.cumsum(loss[g.pair_of], out=up[1:])
+        ends = np.cumsum(g.lengths)
+        out.append(up[ends] - up[ends - g.lengths])
+    return out
 
 
 def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = None) -> DataFrame:
@@ -115,45 +219,47 @@ def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = Non
     ``target(text)`` and ``background(text)`` are the corpora; without a
     background, ``docs`` is.
     """
-    docs = common.columns_of(docs, "doc_id", "text")
-    losses = key_losses(docs, common.columns_of(target, "text"), None if background is None else common.columns_of(background, "text"))
-    looked_up = losses.agg(F.sum("d")).first()[0] or 0
-    often = F.col("d") * FREQUENT >= F.lit(looked_up)
-    top = losses.where(often).select("g", "lt", "lb").toArrow()  # FREQUENT rows at most, as their shares add up to 1 at most
-    table = np.stack([np.asarray(top.column(c)) for c in ("g", "lt", "lb")])
-    shared = docs.sparkSession.sparkContext.broadcast(table[:, np.argsort(table[0])])
+    spark = docs.sparkSession
+    nobody = F.lit(None).cast("long").alias("doc_id")
+    ids = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    blocks = _blocks(docs.select(*ids), 0, int(background is None), True).unionByName(_blocks(target.select(nobody, "text"), 1, 0, False))
+    if background is not None:
+        blocks = blocks.unionByName(_blocks(background.select(nobody, "text"), 0, 1, False))
+    blocks = common.save(blocks, "blocks")
+    sums = blocks.agg(*[F.coalesce(F.sum(F.col(c) * F.col(r)), F.lit(0)).alias(f"{c}_{r}") for c in ("tokens", "texts") for r in ("t", "n")], F.coalesce(F.sum("tokens"), F.lit(0)).alias("all")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sums["all"] / BUCKET_KEYS))
+    answers = common.save(_answers(_messages(blocks, buckets)), "answers")
+    vocabulary = int(answers.where("block is null").agg(F.sum("vocabulary")).first()[0] or 0)
+    totals, starts = (tuple(int(sums[f"{c}_{r}"]) for r in ("t", "n")) for c in ("tokens", "texts"))
+    names = ["words", "words_t", "words_n", "pairs", "pairs_t", "pairs_n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g, lt, lb = shared.value
-            for part in common.by_size(batch):
-                word, pair, offsets = grams(common.byte_texts(part.column(2)))
-                keys = np.stack([word, pair], axis=1).ravel()  # a text's keys stand together
-                at = np.minimum(np.searchsorted(g, keys), max(len(g) - 1, 0))
-                known = g[at] == keys if len(g) else np.zeros(len(keys), dtype=bool)
-                sums = []
-                for loss in (lt, lb):
-                    up = np.zeros(len(keys) + 1, dtype=np.int64)
-                    if len(g):
-                        np.cumsum(np.where(known, loss[at], 0), out=up[1:])
-                    sums.append(pa.array(np.diff(up[2 * offsets])))
-                slices = []
-                for i in range(SLICES):
-                    mine = np.flatnonzero(~known & (keys % SLICES == i))
-                    slices.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(mine, 2 * offsets).astype(np.int32)), pa.array(keys[mine])))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), *sums, *slices], names=["row", "doc_id", "n", "lt", "lb", *names])
-
-    names = [f"rest{i}" for i in range(SLICES)]
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    facts = common.save(numbered.transform(common.map_arrow, run, "row long, doc_id long, n long, lt long, lb long, " + ", ".join(f"{c} array<long>" for c in names)), "facts")
-    every = facts.drop(*names)
-    for i, name in enumerate(names):
-        mine = losses.where(~often & (F.pmod("g", F.lit(SLICES)) == i)).select("g", "lt", "lb")
-        part = facts.select("row", F.explode(name).alias("g")).join(mine, "g").groupBy("row").agg(F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
-        every = every.unionByName(common.save(part, name).select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), "lt", "lb"))
-    sums = every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "lt", "lb")])
-    mean = lambda c: F.round(F.when(F.col("n") > 0, c / F.col("n") / SCALE), 9)
-    return sums.select("doc_id", F.col("n").alias("n_tokens"), mean(F.col("lt")).alias("target_loss"), mean(F.col("lb")).alias("background_loss"), F.coalesce(mean(F.col("lb") - F.col("lt")), F.lit(0.0)).alias("score"))
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["bucket"] is None)
+        g = Grams(own["lengths"], own["words"], own["places"])
+        sorted_words = g.words[g.order]
+        word = [g.many * own[r] for r in ("t", "n")]
+        pair = [g.pairs_many * own[r] for r in ("t", "n")]
+        word_starts, pair_starts = ([0, *_cuts(x, buckets)] for x in (sorted_words, g.pairs))
+        for r in rows:
+            if r["bucket"] is not None:
+                for kind, into, begin in (("words", word, word_starts), ("pairs", pair, pair_starts)):
+                    at = begin[r["bucket"]] + np.cumsum(unpack(r[kind], np.uint32), dtype=np.int64)
+                    at = g.order[at] if kind == "words" else at
+                    for x, c in zip(into, ("t", "n"), strict=True):
+                        x[at] = unpack(r[f"{kind}_{c}"], np.int64)
+        target_loss, background_loss = losses_of(g, tuple(word), tuple(pair), totals, starts, vocabulary)
+        many = np.maximum(g.lengths, 1)
+        none = pa.array(g.lengths == 0)
+        mean = lambda x: np.round(x / many / SCALE, 9)
+        nulls = pa.nulls(len(many), pa.float64())
+        parts = [pa.compute.if_else(none, nulls, pa.array(mean(x))) for x in (target_loss, background_loss)]
+        return pa.table({"doc_id": pa.array(own["doc_ids"], pa.int64()), "n_tokens": pa.array(g.lengths), "target_loss": parts[0], "background_loss": parts[1], "score": pa.array(mean(background_loss - target_loss) + 0.0)})
+
+    empty = {c: F.lit(None).cast("binary").alias(c) for c in ("lengths", "places", *names)}
+    payload = blocks.where("scored").select("block", F.lit(None).cast("int").alias("bucket"), "t", "n", "doc_ids", "lengths", "places", "words", *[empty[c] for c in names[1:]])
+    sent = answers.where("block is not null").select("block", "bucket", *[F.lit(None).cast("int").alias(c) for c in ("t", "n")], F.lit(None).cast("array<long>").alias("doc_ids"), empty["lengths"], empty["places"], *names)
+    return payload.unionByName(sent).groupBy("block").applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def brute_force(texts: list[str | None], target: list[str | None], background: list[str | None]) -> list[tuple[int, float | None, float | None]]:
