@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # English function words that carry no information.
@@ -128,3 +128,34 @@ def hamming(a: Column, b: Column) -> Column:
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
+
+
+def filtered(tokens: Column, stopwords: list[str] | None = None, least: int = 2) -> Column:
+    """Tokens of ``least`` characters or more that are neither stopwords nor numbers."""
+    return F.filter(without_stopwords(tokens, stopwords, least), lambda t: ~t.rlike("^[0-9]+$"))
+
+
+def significant(tokens: Column, protected: list[str] = (), stopwords: list[str] | None = None) -> Column:
+    """Tokens that carry information, and the protected ones whatever they are."""
+    stop = list(stopwords or STOPWORDS)
+    return F.filter(tokens, lambda t: t.isin(list(protected)) | (~t.isin(stop) & (F.length(t) > 1) & ~t.rlike("^[0-9]+$")))
+
+
+def stopword_counts(rows: DataFrame, stopwords: list[str]) -> DataFrame:
+    """``term, n`` of the stopwords in ``rows(w)``; the list may be any, so words are added or taken out by passing another."""
+    found = rows.select(F.explode(F.filter("w", lambda t: t.isin(list(stopwords)))).alias("term"))
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def classify(rows: DataFrame, column: str, aliases: dict[str, str], other: str = "other", unknown: str = "unknown") -> DataFrame:
+    """``rows`` with ``class``: the alias's class of a trimmed, lower-cased value; ``other`` where it has none, ``unknown`` where there is no value."""
+    value = F.lower(F.trim(F.col(column)))
+    table = F.create_map(*[F.lit(x) for a, c in aliases.items() for x in (a.lower(), c)])
+    return rows.withColumn("class", F.when(F.coalesce(value, F.lit("")) == "", unknown).otherwise(F.coalesce(F.try_element_at(table, value), F.lit(other))))
+
+
+def neighbour_jaccard(docs: DataFrame) -> DataFrame:
+    """``doc_id, other, similarity`` of the token sets of documents whose ids follow each other."""
+    rows = docs.select("doc_id", F.array_distinct(lexical("text")).alias("w"))
+    nxt = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other"), F.col("w").alias("v"))
+    return rows.join(nxt, "doc_id").select("doc_id", "other", F.round(jaccard(F.col("w"), F.col("v")), 6).alias("similarity"))

@@ -89,3 +89,67 @@ def cooccurrence(docs: DataFrame, terms: list[str], least: int = 2) -> DataFrame
     rows = index.matches(docs, terms).select("doc_id", "term")
     pairs = rows.select("doc_id", F.col("term").alias("a")).join(rows.select("doc_id", F.col("term").alias("b")), "doc_id").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def hierarchical(vectors: DataFrame, k: int, linkage: str = "complete", most: int = 500) -> DataFrame:
+    """``vec_id, cluster`` of a sample of at most ``most`` vectors, bottom-up; the method compares all of them, so more is an error."""
+    rows = vectors.select("vec_id", "embedding").orderBy("vec_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"hierarchical clusters are for samples of {most} vectors at most")
+    got = agglomerate(np.array([r["embedding"] for r in rows], dtype=float), k, linkage) if rows else []
+    return vectors.sparkSession.createDataFrame([(r["vec_id"], int(c)) for r, c in zip(rows, got, strict=True)], "vec_id long, cluster int")
+
+
+def silhouette_by_label(vectors: DataFrame, label: str = "label") -> DataFrame:
+    """``label, n, silhouette``: the mean over each group by cosine distance, of all vectors against all groups.
+
+    The mean distance to a group is one minus the product with the group's mean
+    unit vector, so the work is vectors times groups. A vector alone in its group has 0.
+    """
+    x = F.col("embedding").cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    unit = vectors.select("vec_id", F.col(label).alias("own"), F.transform(x, lambda v: v / F.sqrt(dot(x, x))).alias("e"))
+    parts = unit.select("own", F.posexplode("e").alias("i", "v")).groupBy("own", "i").agg(F.sum("v").alias("s"))
+    sums = parts.groupBy("own").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("s"))
+    groups = sums.join(unit.groupBy("own").agg(F.count(F.lit(1)).alias("n")), "own").select(F.col("own").alias("other"), "s", "n")
+    pairs = unit.join(F.broadcast(groups))  # groups are few
+    near, same = dot(F.col("e"), F.col("s")), F.col("own") == F.col("other")
+    d = F.when(same, F.when(F.col("n") > 1, (F.col("n") - near) / (F.col("n") - 1)).otherwise(0.0)).otherwise(1 - near / F.col("n"))
+    per = pairs.withColumn("d", d).groupBy("vec_id", "own").agg(F.min(F.when(~same, F.col("d"))).alias("b"), F.min(F.when(same, F.col("d"))).alias("a"), F.min(F.when(same, F.col("n"))).alias("n"))
+    s = F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return per.groupBy(F.col("own").alias(label)).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 6).alias("silhouette"))
+
+
+def term_clusters(stats: DataFrame, k: int = 40, threshold: float = 0.7) -> DataFrame:
+    """``term, centre``: star clusters of the k most frequent terms, in that order."""
+    terms = [r["term"] for r in stats.orderBy(F.desc("cf"), "term").limit(k).collect()]
+    return stats.sparkSession.createDataFrame(sorted(star_clusters(terms, threshold).items()), "term string, centre string")
+
+
+def lda_topics(docs: DataFrame, k: int = 4, words: int = 10) -> DataFrame:
+    """``doc_id, topic, weight``: each document's strongest topic with its rounded weight; a document without words has none (-1)."""
+    model, rows, _ = lda(docs, k)
+    from pyspark.ml.functions import vector_to_array
+
+    v = vector_to_array("topicDistribution")
+    best = F.array_max(F.transform(v, lambda x, i: F.struct(F.round(x, 4).alias("w"), (-i).alias("i"))))
+    return rows.select("doc_id", best.alias("b")).select("doc_id", F.when(F.col("b.w") > 0, -F.col("b.i")).otherwise(-1).alias("topic"), F.col("b.w").alias("weight"))
+
+
+def topic_words(docs: DataFrame, k: int = 4, words: int = 10) -> DataFrame:
+    """``topic, rank, word, weight`` of an LDA model."""
+    model, _, vocabulary = lda(docs, k)
+    names = F.array(*[F.lit(w) for w in vocabulary])
+    rows = model.describeTopics(words).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "p"))
+    return rows.select("topic", (F.col("pos") + 1).alias("rank"), F.element_at(names, F.col("p.termIndices") + 1).alias("word"), F.round("p.termWeights", 6).alias("weight"))
+
+
+def kmeans_report(vectors: DataFrame, k: int = 5) -> DataFrame:
+    """``vec_id, cluster, similarity``: the cosine with the mean of the own cluster."""
+    got = vectors.select("vec_id", "embedding").join(kmeans(vectors, k), "vec_id")
+    x = F.col("embedding").cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    unit = got.select("vec_id", "cluster", F.transform(x, lambda v: v / F.sqrt(dot(x, x))).alias("e"))
+    means = unit.select("cluster", F.posexplode("e").alias("i", "v")).groupBy("cluster", "i").agg(F.avg("v").alias("m"))
+    centres = means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("c"))
+    return unit.join(F.broadcast(centres), "cluster").select("vec_id", "cluster", F.round(dot(F.col("e"), F.col("c")) / F.sqrt(dot(F.col("c"), F.col("c"))), 6).alias("similarity"))

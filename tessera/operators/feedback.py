@@ -59,3 +59,8 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     upto = W.partitionBy(key).orderBy(at, "side").rowsBetween(W.unboundedPreceding, W.currentRow)
     both = a.unionByName(b).withColumn("found", F.last("v", ignorenulls=True).over(upto))
     return both.where("side = 1").select("row.*", F.col("found").alias(f"{value}_as_of"))
+
+
+def top_clicked(clicks: DataFrame, doc: Column, k: int = 20) -> DataFrame:
+    """``doc, clicks, users`` of the documents clicked most."""
+    return clicks.groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("clicks"), F.countDistinct("user_id").alias("users")).orderBy(F.desc("clicks"), "doc").limit(k)

@@ -164,3 +164,111 @@ def compressed_sizes(post: DataFrame) -> DataFrame:
     gap = F.col("doc_id") - F.coalesce(F.lag("doc_id").over(W.partitionBy("term").orderBy("doc_id")), F.lit(-1))
     g = post.select("term", gap.alias("g"))
     return g.groupBy("term").agg((F.count(F.lit(1)) * 4).alias("raw_bytes"), F.sum(codecs.vbyte_size(F.col("g"))).alias("vbyte_bytes"), F.sum(F.length(codecs.gamma_code(F.col("g")))).alias("gamma_bits"), F.sum(F.length(codecs.delta_code(F.col("g")))).alias("delta_bits"))
+
+
+def fuzzy_stats(stats: DataFrame, term: str, distance: int = 2) -> DataFrame:
+    """``distance, n``: how many terms stand at each edit distance."""
+    near = stats.where(F.abs(F.length("term") - len(term)) <= distance).select(F.levenshtein(F.lit(term), F.col("term"), distance).alias("distance"))
+    return near.where("distance >= 0").groupBy("distance").agg(F.count(F.lit(1)).alias("n"))
+
+
+def wildcard_stats(stats: DataFrame, pattern: str) -> DataFrame:
+    """``matches, shortest, longest`` of a pattern, and where its fixed part stands."""
+    wild = [c in "*?" for c in pattern]
+    kind = "exact" if not any(wild) else "prefix" if not wild[0] and all(wild[wild.index(True) :]) else "suffix" if not wild[-1] and all(wild[: wild.index(False)]) and not any(wild[wild.index(False) :]) else "infix"
+    found = stats.where(F.col("term").rlike("(?i)" + wildcard_regex(pattern)))
+    return found.agg(F.count(F.lit(1)).alias("matches"), F.min(F.length("term")).alias("shortest"), F.max(F.length("term")).alias("longest")).withColumn("kind", F.lit(kind))
+
+
+def serving_weights(docs: DataFrame, title: str, others: list[str], repeat: int = 3) -> DataFrame:
+    """``term, doc_id, tf, w`` of a text in which the title counts ``repeat`` times; w = (1 + log10 tf) * ln(1 + (N - df + .5) / (df + .5))."""
+    whole = docs.select("doc_id", F.concat_ws(" ", *[F.col(title)] * repeat, *[F.col(c) for c in others]).alias("text"))
+    post = postings(whole)
+    n = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
+    rows = post.join(term_stats(post).select("term", "df"), "term")
+    return rows.select("term", "doc_id", "tf", F.round((1 + F.log10("tf")) * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("w"))
+
+
+def _prefixes(stats: DataFrame) -> DataFrame:
+    """``prefix, is_term`` of every node of the terms' trie but its root."""
+    rows = stats.select("term", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("i"))
+    return rows.groupBy(F.substring("term", F.lit(1), F.col("i")).alias("prefix")).agg(F.bool_or(F.col("i") == F.length("term")).alias("is_term"))
+
+
+def trie_stats(stats: DataFrame) -> DataFrame:
+    """``terms, nodes, depth, compressed_nodes, chars_per_node``: a compressed node ends a term or branches."""
+    nodes = _prefixes(stats)
+    below = nodes.groupBy(F.substring("prefix", F.lit(1), F.length("prefix") - 1).alias("prefix")).agg(F.count(F.lit(1)).alias("children"))
+    rows = nodes.join(below, "prefix", "left")
+    own = F.col("is_term") | (F.coalesce("children", F.lit(0)) != 1)
+    out = rows.agg(F.count_if("is_term").alias("terms"), F.count(F.lit(1)).alias("nodes"), F.max(F.length("prefix")).alias("depth"), F.count_if(own).alias("compressed_nodes"))
+    return out.withColumn("chars_per_node", F.round(F.col("nodes") / F.col("compressed_nodes"), 6))
+
+
+def trie_view(stats: DataFrame, prefix: str = "", k: int = 100) -> DataFrame:
+    """``node, terms, cf``: the children of a node, those with the most terms first."""
+    under = stats.where(F.col("term").startswith(prefix) & (F.length("term") > len(prefix)))
+    return under.groupBy(F.substring("term", 1, len(prefix) + 1).alias("node")).agg(F.count(F.lit(1)).alias("terms"), F.sum("cf").alias("cf")).orderBy(F.desc("terms"), "node").limit(k)
+
+
+def pattern_lookup(docs: DataFrame, patterns_: list[list[str]]) -> DataFrame:
+    """``pattern, n, docs``: occurrences of given token sequences and the documents that hold them; one scan, partial sums."""
+    joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    # Neighbouring occurrences share a space, so it is looked for ahead.
+    count = lambda p: F.regexp_count(joined, F.lit(f" {' '.join(p)}(?= )"))
+    found = F.array(*[F.struct(F.lit(" ".join(p)).alias("pattern"), count(p).alias("n")) for p in patterns_])
+    rows = tokens(docs).select(F.explode(found).alias("f")).where("f.n > 0")
+    return rows.groupBy("f.pattern").agg(F.sum("f.n").alias("n"), F.count(F.lit(1)).alias("docs"))
+
+
+def window_pairs(docs: DataFrame, window: int = 3, least: int = 1) -> DataFrame:
+    """``a, b, n``: unequal tokens within ``window`` places of each other, in alphabetical order."""
+    pairs = F.flatten(F.transform("w", lambda t, i: F.transform(F.slice("w", i + 2, F.lit(window - 1)), lambda u: F.struct(F.least(t, u).alias("a"), F.greatest(t, u).alias("b")))))
+    rows = tokens(docs).select(F.explode(pairs).alias("p")).where("p.a <> p.b")
+    return rows.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def field_stats(fields: DataFrame) -> DataFrame:
+    """``field, terms, postings, docs`` of field postings."""
+    return fields.groupBy("field").agg(F.countDistinct("term").alias("terms"), F.count(F.lit(1)).alias("postings"), F.countDistinct("doc_id").alias("docs"))
+
+
+def manifest(docs: DataFrame, version: str = "1") -> DataFrame:
+    """``version, documents, digest``: what an index was built from; a stored index serves while its row equals a new one.
+
+    The digest sums a hash of each row, so the order of rows doesn't matter and nothing is collected.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).cast("binary")), 1, 12), 16, 10).cast("long")
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(h), F.lit(0)).alias("digest")).select(F.lit(version).alias("version"), "documents", "digest")
+
+
+def cached(docs: DataFrame, path: str, version: str = "1") -> tuple[DataFrame, DataFrame, bool]:
+    """(postings, lengths, whether they were stored already) of an index that is built only if its manifest differs."""
+    spark = docs.sparkSession
+    now = tuple(manifest(docs, version).first())
+    try:
+        stored = tuple(spark.read.parquet(f"{path}/manifest").first())
+    except Exception as e:  # no such folder yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        stored = None
+    if stored != now:
+        build(docs, path)
+        manifest(docs, version).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return (*load(spark, path), stored == now)
+
+
+def build_positions(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    positions(docs).repartition(buckets, "term").sortWithinPartitions("term", "doc_id", "pos").write.mode("overwrite").parquet(f"{path}/positions")
+
+
+def stored_bm25(post: DataFrame, lengths: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
+    """BM25 from a stored index: the term filter is pushed into the sorted postings, the text isn't read."""
+    from tessera.operators import ranking
+
+    hits = post.where(F.col("term").isin(terms)).join(F.broadcast(lengths.sparkSession.createDataFrame([(t, terms.count(t)) for t in dict.fromkeys(terms)], "term string, qtf int")), "term")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n, avgdl = lengths.agg(F.count(F.lit(1)).cast("double")).scalar(), lengths.agg(F.avg("dl")).scalar()
+    part = F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * (F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / avgdl)))
+    rows = hits.join(F.broadcast(df), "term").join(lengths.select("doc_id", "dl"), "doc_id")
+    return ranking.top(rows.groupBy("doc_id").agg(F.sum(part).alias("score")), k)

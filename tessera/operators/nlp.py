@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import index
+from tessera.operators.keywords import ranked_words
 
 DIGITS = 6
 
@@ -26,8 +27,8 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return index.tokens(docs).select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ngram_probability(docs: DataFrame, method: str = "laplace", lam: float = 0.7, mu: float = 2000.0) -> DataFrame:
-    """``a, b, p``: P(b | a) of the bigrams seen, by ``mle``, ``laplace``, ``jm`` or ``dirichlet``."""
+def bigram_model(docs: DataFrame, method: str = "laplace", lam: float = 0.7, mu: float = 2000.0) -> DataFrame:
+    """``a, b, n, p``: P(b | a) of the bigrams seen, not rounded, by ``mle``, ``laplace``, ``jm`` or ``dirichlet``."""
     pairs, single = bigrams(docs), unigrams(docs)
     context = pairs.groupBy("a").agg(F.sum("n").alias("c"))
     v = single.agg(F.count(F.lit(1)).cast("double")).scalar()
@@ -35,12 +36,29 @@ def ngram_probability(docs: DataFrame, method: str = "laplace", lam: float = 0.7
     rows = pairs.join(context, "a").join(single.select(F.col("t").alias("b"), F.col("n").alias("nb")), "b")
     n, c, pb = F.col("n"), F.col("c"), F.col("nb") / total
     p = {"mle": n / c, "laplace": (n + 1) / (c + v), "jm": lam * n / c + (1 - lam) * pb, "dirichlet": (n + mu * pb) / (c + mu)}[method]
-    return rows.select("a", "b", F.round(p, 9).alias("p"))
+    return rows.select("a", "b", "n", p.alias("p"))
+
+
+def ngram_probability(docs: DataFrame, method: str = "laplace", **how: float) -> DataFrame:
+    """``a, b, p`` of ``bigram_model``, rounded."""
+    return bigram_model(docs, method, **how).select("a", "b", F.round("p", 9).alias("p"))
+
+
+def log_probability(docs: DataFrame, method: str = "laplace", **how: float) -> DataFrame:
+    """``a, b, logp``: ln P(b | a), null where there is none."""
+    return bigram_model(docs, method, **how).select("a", "b", F.round(F.when(F.col("p") > 0, F.log("p")), DIGITS).alias("logp"))
+
+
+def model_stats(docs: DataFrame) -> DataFrame:
+    """``tokens, vocabulary, bigrams, contexts`` of the bigram model."""
+    pairs = bigrams(docs)
+    of_pairs = pairs.agg(F.count(F.lit(1)).alias("bigrams"), F.countDistinct("a").alias("contexts"))
+    return unigrams(docs).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("vocabulary")).select("tokens", "vocabulary", of_pairs.select("bigrams").scalar().alias("bigrams"), of_pairs.select("contexts").scalar().alias("contexts"))
 
 
 def perplexity(docs: DataFrame, train: DataFrame, lam: float = 0.7) -> DataFrame:
     """``doc_id, tokens, perplexity`` under the bigram model (JM) of ``train``; pairs without probability are skipped."""
-    model = ngram_probability(train, "jm", lam)
+    model = bigram_model(train, "jm", lam).drop("n")
     pairs = index.tokens(docs).select("doc_id", F.explode(text.ngrams(F.col("w"), 2)).alias("g")).select("doc_id", F.get("g", F.lit(0)).alias("a"), F.get("g", F.lit(1)).alias("b"))
     known = pairs.groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("m")).join(model, ["a", "b"]).where("p > 0")
     return known.groupBy("doc_id").agg(F.sum("m").alias("tokens"), F.round(F.pow(F.lit(2.0), -F.sum(F.col("m") * F.log2("p")) / F.sum("m")), 4).alias("perplexity"))
@@ -160,17 +178,11 @@ def textrank(docs: DataFrame, k: int = 10, window: int = 5, damping: float = 0.8
         for frame in frames:
             out = []
             for doc_id, w in zip(frame["doc_id"], frame["w"], strict=True):
-                terms, at = np.unique(np.asarray(w, dtype=object).astype(str), return_inverse=True)
-                if not len(terms):
+                ranks = ranked_words(list(w), window, damping, rounds)
+                if not ranks:
                     continue
-                pair = np.concatenate([np.stack([at[:-d], at[d:]]) for d in range(1, min(window, len(at)))] or [np.zeros((2, 0), dtype=int)], axis=1)
-                pair = pair[:, pair[0] != pair[1]]
-                pair = np.concatenate([pair, pair[::-1]], axis=1)
-                degree = np.bincount(pair[0], minlength=len(terms)).astype(float)
-                rank = np.full(len(terms), 1 / len(terms))
-                for _ in range(rounds):
-                    flow = np.bincount(pair[1], weights=rank[pair[0]] / degree[pair[0]], minlength=len(terms)) if pair.shape[1] else np.zeros(len(terms))
-                    rank = (1 - damping) / len(terms) + damping * (flow + rank[degree == 0].sum() / len(terms))
+                terms, rank = np.array(list(ranks), dtype=object).astype(str), np.array(list(ranks.values()))
+                at = np.searchsorted(terms, np.asarray(w, dtype=object).astype(str))
                 first = np.full(len(terms), len(at))
                 np.minimum.at(first, at, np.arange(len(at)))
                 score = np.round(rank * (1 + 0.3 * (1 - first / len(at))), 9)
@@ -200,3 +212,49 @@ def triples(edges: DataFrame) -> DataFrame:
     obj = below.where(F.col("relation").isin("dobj", "attr", "ccomp", "iobj")).groupBy("sent_id").agg(F.min_by("dep_word", "dep").alias("object"))
     return root.join(subject, "sent_id", "left").join(obj, "sent_id", "left").select("sent_id", "subject", "verb", "object", F.when(F.col("subject").isNotNull() & F.col("object").isNotNull(), 1.0).otherwise(0.7).alias("confidence"))
 
+
+
+def entity_stats(found: DataFrame) -> DataFrame:
+    """``kind, n, values, pct`` of entities ``kind, value``: occurrences, distinct values, share of all."""
+    total = found.agg(F.count(F.lit(1)).cast("double")).scalar()
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("values")).select("kind", "n", "values", F.round(100.0 * F.col("n") / total, 4).alias("pct"))
+
+
+def common_entities(found: DataFrame, k: int = 10) -> DataFrame:
+    """``kind, value, n, rank``: the k most frequent values of each kind."""
+    counts = found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= k)
+
+
+def keyword_lists(docs: DataFrame, k: int = 10) -> DataFrame:
+    """``doc_id, k``: an array of each document's keywords."""
+    return tf_keywords(docs, k).groupBy("doc_id").agg(F.collect_list("term").alias("k"))
+
+
+def detail(docs: DataFrame, doc_id: int, terms: list[str], k: int = 5) -> DataFrame:
+    """One document's attributes, number of distinct terms, keywords and matched query terms."""
+    one = docs.where(F.col("doc_id") == doc_id)
+    w = text.lexical("text")
+    best = tf_keywords(one, k).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("tf")).alias("n"), "term"))), lambda x: x["term"]).alias("k"))
+    return one.select("doc_id", "lang", "source", "n_chars", F.size(F.array_distinct(w)).alias("distinct_terms"), F.array_join(best.scalar(), ",").alias("keywords"), F.array_join(F.array_sort(F.array_intersect(w, F.array(*[F.lit(t) for t in terms]))), ",").alias("matched"))
+
+
+def generate_greedy(docs: DataFrame, start: str, length: int = 20) -> DataFrame:
+    """``pos, word``: from ``start``, always the most frequent next word (the first of equals); one row is looked up a step."""
+    model = bigrams(docs).groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), F.col("b"))).alias("b")).cache()
+    out = [start]
+    try:
+        while len(out) < length:
+            row = model.where(F.col("a") == out[-1]).first()
+            if row is None:
+                break
+            out.append(row["b"])
+    finally:
+        model.unpersist()
+    return docs.sparkSession.createDataFrame(list(enumerate(out)), "pos int, word string")
+
+
+def dependency_tree(edges: DataFrame) -> DataFrame:
+    """``sent_id, head, children, relations``: the words under each head, in their order in the sentence."""
+    rows = edges.groupBy("sent_id", "head").agg(F.array_sort(F.collect_list(F.struct("dep", "dep_word", "relation"))).alias("c"))
+    return rows.select("sent_id", "head", F.array_join(F.transform("c", lambda x: x["dep_word"]), ",").alias("children"), F.array_join(F.transform("c", lambda x: x["relation"]), ",").alias("relations"))

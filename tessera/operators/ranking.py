@@ -270,3 +270,181 @@ def train_ltr(features: DataFrame):
 
     rows = VectorAssembler(inputCols=["bm25", "dl", "hits"], outputCol="features").transform(features.withColumn("label", F.col("label").cast("double")))
     return LogisticRegression(maxIter=20, regParam=0.01).fit(rows), rows
+
+
+# explanations, expansions, and models by name
+
+def lm_explain(docs: DataFrame, terms: list[str], doc_id: int, lam: float = 0.7) -> DataFrame:
+    """``term, tf, p_doc, p_collection, p, logp`` of a query under one document's model (JM)."""
+    stats = index.doc_stats(docs)
+    collection = stats.agg(F.sum("dl").cast("double")).scalar()
+    hits = index.matches(docs, terms)
+    cf = hits.groupBy("term").agg(F.sum("tf").alias("cf"))
+    own = hits.where(F.col("doc_id") == doc_id).select("term", "tf")
+    dl = stats.where(F.col("doc_id") == doc_id).agg(F.max("dl").cast("double")).scalar()
+    rows = _query(docs, terms).join(F.broadcast(cf), "term").join(F.broadcast(own), "term", "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
+    p_doc, p_all = F.coalesce(F.try_divide(F.col("tf"), dl), F.lit(0.0)), F.col("cf") / collection
+    p = lam * p_doc + (1 - lam) * p_all
+    return rows.select("term", "tf", F.round(p_doc, 9).alias("p_doc"), F.round(p_all, 9).alias("p_collection"), F.round(p, 9).alias("p"), F.round(F.log(p), DIGITS).alias("logp"))
+
+
+def bim_explain(docs: DataFrame, terms: list[str], doc_id: int) -> DataFrame:
+    """``term, df, w``: the weight of each query term that one document has."""
+    w = F.greatest(F.lit(0.0), F.log((_n(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return _hits(docs, terms).withColumn("w", F.round(w, DIGITS)).where(F.col("doc_id") == doc_id).select("term", "df", "w")
+
+
+def bm25_log10(docs: DataFrame, term: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``doc_id, score``: one term's BM25 with idf = log10(N / df)."""
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / _avgdl(docs)))
+    return _hits(docs, [term]).withColumn("s", F.log10(_n(docs) / F.col("df")) * gain).select("doc_id", F.round("s", DIGITS).alias("score"))
+
+
+def expansions(docs: DataFrame, terms: list[str], how: str = "fuzzy", distance: int = 1, most: int = 50) -> DataFrame:
+    """``term, w``: the vocabulary's terms that stand for a query term, ``most`` of each at most: ``fuzzy`` ones by 1 / (1 + edits), ``phonetic`` ones of equal sound by a half."""
+    q = docs.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "q string")
+    vocabulary = index.tokens(docs).select(F.explode(F.array_distinct("w")).alias("term")).distinct()
+    if how == "fuzzy":
+        pairs = vocabulary.join(F.broadcast(q), (F.abs(F.length("term") - F.length("q")) <= distance) & (F.levenshtein(F.col("q"), F.col("term"), distance) >= 0))
+        pairs = pairs.withColumn("d", F.levenshtein(F.col("q"), F.col("term"), distance)).withColumn("w", 1 / (1 + F.col("d")))
+    else:
+        same = F.soundex("term") == F.soundex("q")
+        pairs = vocabulary.where(F.col("term").rlike("^[a-z]")).join(F.broadcast(q), same).withColumn("d", (F.col("term") != F.col("q")).cast("int")).withColumn("w", F.when(F.col("d") == 0, 1.0).otherwise(0.5))
+    best = pairs.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "term"))).where(F.col("r") <= most)
+    return best.groupBy("term").agg(F.max("w").alias("w"))
+
+
+def bm25_expanded(docs: DataFrame, terms: list[str], how: str = "fuzzy", k: int = 10) -> DataFrame:
+    """BM25 over the expanded query, each term's part scaled by its weight."""
+    wide = F.broadcast(expansions(docs, terms, how))  # at most 50 rows a query term
+    hits = index.postings(docs).join(wide, "term")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((_n(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    gain = F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / _avgdl(docs)))
+    rows = hits.join(F.broadcast(df), "term").join(index.doc_stats(docs).select("doc_id", "dl"), "doc_id")
+    return top(rows.groupBy("doc_id").agg(F.sum(F.col("w") * idf * gain).alias("score")), k)
+
+
+def rocchio_drift(docs: DataFrame, terms: list[str], relevant: list[int], other: list[int] = (), *, warn: float = 0.5) -> DataFrame:
+    """``drift, drifted``: 1 - cosine of the query before and after Rocchio's expansion."""
+    before = _query(docs, terms).select("term", F.col("qtf").cast("double").alias("q"))
+    both = rocchio(docs, terms, relevant, other).join(before, "term", "full")
+    x, y = F.coalesce("q", F.lit(0.0)), F.coalesce("w", F.lit(0.0))
+    cos = F.sum(x * y) / F.sqrt(F.sum(x * x) * F.sum(y * y))
+    return both.agg(F.round(1 - cos, DIGITS).alias("drift")).select("drift", (F.col("drift") > warn).alias("drifted"))
+
+
+def suggest(docs: DataFrame, prefix: str, k: int = 10) -> DataFrame:
+    """``term, df``: completions of a prefix, those of most documents first."""
+    terms = index.tokens(docs).select(F.explode(F.array_distinct(F.filter("w", lambda t: t.startswith(prefix)))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(k)
+
+
+def boolean_ranked(docs: DataFrame, query: str, k: int = 10) -> DataFrame:
+    """``doc_id, score, rank`` of a boolean query's documents by the occurrences of its words; operators are no words."""
+    import re
+
+    from tessera.plans import query as plans
+
+    words = sorted({w for w in re.findall(r"[一-鿿]+|[a-z0-9]+", re.sub(r"\b(AND|OR|NOT|NEAR/\d+)\b", " ", query).lower())})
+    found = plans.Planner().run(docs, query)
+    return top(index.tokens(found).select("doc_id", F.size(F.filter("w", lambda t: t.isin(words))).cast("double").alias("score")), k)
+
+
+def with_attributes(found: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Ranked rows with their documents' attributes; the k found rows are the small side."""
+    return docs.select("doc_id", *columns).join(F.broadcast(found), "doc_id", "right")
+
+
+def fuse_explain(runs: DataFrame, weights: dict[str, float], normalise: str = "minmax") -> DataFrame:
+    """``doc_id, model, raw, scaled, part``: what each model adds to a document's fused score."""
+    w = F.coalesce(*[F.when(F.col("model") == m, F.lit(float(x))) for m, x in weights.items()], F.lit(0.0))
+    rows = _normalised(runs, normalise)
+    return rows.select("doc_id", "model", F.round("score", DIGITS).alias("raw"), F.round("v", DIGITS).alias("scaled"), F.round(w * F.col("v"), DIGITS).alias("part"))
+
+
+#: Models by name, each a function of documents, terms and k: another ranker is added by putting it here.
+MODELS = {
+    "bm25": bm25,
+    "bm25+": lambda docs, terms, k=10: bm25(docs, terms, k, delta=1.0),
+    "vsm": vsm,
+    "lm": language_model,
+    "lm-kl": lm_divergence,
+    "bim": bim,
+}
+
+
+def dispatch(docs: DataFrame, model: str, terms: list[str], k: int = 10) -> DataFrame:
+    """``model, doc_id, score, rank`` of one registered model."""
+    if model not in MODELS:
+        raise ValueError(f"no model {model!r}; there are {', '.join(sorted(MODELS))}")
+    return MODELS[model](docs, terms, k).select(F.lit(model).alias("model"), "doc_id", "score", "rank")
+
+
+def score_with(docs: DataFrame, terms: list[str], scorer, k: int = 10) -> DataFrame:
+    """Ranks by any ``scorer(tf, dl, df, n) -> Column``, summed over the query's terms."""
+    part = scorer(F.col("tf"), F.col("dl"), F.col("df"), _n(docs))
+    return top(_hits(docs, terms).withColumn("part", F.col("qtf") * part).groupBy("doc_id").agg(F.sum("part").alias("score")), k)
+
+
+def dense_batch(vectors: DataFrame, queries: Column, k: int = 5, block: int = 4096) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k nearest by cosine of every vector that ``queries`` names.
+
+    The query vectors are broadcast in blocks of ``block``, so what is broadcast
+    at once is bounded; each task multiplies its batch with a block and keeps k a query.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    ids = [r[0] for r in vectors.where(queries).select("vec_id").orderBy("vec_id").collect()]
+    best = None
+    for at in range(0, max(len(ids), 1), block):
+        asked = vectors.where(queries & F.col("vec_id").between(ids[at], ids[min(at + block, len(ids)) - 1]) if ids else F.lit(False)).select("vec_id", "embedding").toArrow()
+        q_ids = np.asarray(asked.column("vec_id"))
+        q = _unit_rows(asked.column("embedding"), len(q_ids))
+        shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q))
+
+        def run(batches, shared=shared):
+            own, qv = shared.value
+            for batch in batches:
+                if not len(own) or not batch.num_rows:
+                    continue
+                c_ids = np.asarray(batch.column(0))
+                s = np.round(qv @ _unit_rows(batch.column(1), len(c_ids)).T, DIGITS)
+                s[own[:, None] == c_ids[None, :]] = -np.inf
+                take = min(k, len(c_ids))
+                # All that tie with the k-th are kept; the window breaks ties by id.
+                kth = -np.partition(-s, take - 1, axis=1)[:, take - 1]
+                i, j = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(c_ids[j]), pa.array(s[i, j])], names=["query_id", "vec_id", "score"])
+
+        part = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+        best = part if best is None else best.unionByName(part)
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _unit_rows(column, n: int):
+    import numpy as np
+
+    flat = np.asarray(column.combine_chunks().flatten() if hasattr(column, "combine_chunks") else column.flatten(), dtype=np.float64)
+    x = flat.reshape(n, -1) if n else flat.reshape(0, 0)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def hashed_vectors(docs: DataFrame, dims: int = 64) -> DataFrame:
+    """``doc_id, slot, v``: unit vectors of hashed term counts, a text encoder that needs no model; slots and signs come from md5."""
+    h = F.md5(F.col("term").cast("binary"))
+    slot = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims
+    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    rows = index.postings(docs).select("doc_id", slot.alias("slot"), (sign * (1 + F.log(F.col("tf").cast("double")))).alias("x"))
+    sums = rows.groupBy("doc_id", "slot").agg(F.sum("x").alias("x"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("doc_id")))
+    return sums.select("doc_id", "slot", F.coalesce(F.try_divide(F.col("x"), norm), F.lit(0.0)).alias("v"))
+
+
+def analysis_graph(found: DataFrame, query: str) -> DataFrame:
+    """``source, target, kind, weight``: edges from a query to models and from models to their documents ``model, doc_id, score``."""
+    models = found.select("model").distinct().select(F.lit(f"query:{query}").alias("source"), F.concat(F.lit("model:"), "model").alias("target"), F.lit("asked").alias("kind"), F.lit(None).cast("double").alias("weight"))
+    docs = found.select(F.concat(F.lit("model:"), "model").alias("source"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("target"), F.lit("found").alias("kind"), F.col("score").alias("weight"))
+    return models.unionByName(docs)

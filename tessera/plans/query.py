@@ -132,26 +132,44 @@ def mode(query: str, fields: set[str]) -> str:
     return "boolean" if re.search(r'(?<!\w)(AND|OR|NOT|NEAR/\d+)(?!\w)|"', query) else "simple"
 
 
-def phrase_at(w: Column, terms: list[str]) -> Column:
-    """Whether the terms stand one after another in ``w``."""
-    n = len(terms)
-    want = F.array(*[F.lit(t) for t in terms])
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.slice(w, i, F.lit(n)) == want) & F.array_contains(w, terms[0])
+def _joined(w: Column) -> Column:
+    """The tokens, which hold no spaces, with a space on either side of each."""
+    return F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
 
 
-def places(w: Column, term: str) -> Column:
-    return F.filter(F.transform(w, lambda t, i: F.when(t == term, i)), lambda i: i.isNotNull())
+def phrase_at(w: Column, terms: list[str]) -> Column:
+    """Whether the terms stand one after another in ``w``: one search of the joined tokens."""
+    return _joined(w).contains(" " + " ".join(terms) + " ")
 
 
 def near(w: Column, a: str, b: str, k: int) -> Column:
-    """Whether the two terms stand within k places, in either order."""
-    return F.exists(places(w, a), lambda i: F.exists(places(w, b), lambda j: F.abs(i - j) <= k))
+    """Whether the two terms stand within k places, in either order; a term is near itself."""
+    if a == b:
+        return F.array_contains(w, a)
+    if k < 1:
+        return F.lit(False)
+    gap = f"(?: [^ ]+){{0,{k - 1}}}"
+    x, y = re.escape(a), re.escape(b)
+    return _joined(w).rlike(f" {x}(?={gap} {y} )| {y}(?={gap} {x} )")
 
 
 def within(w: Column, terms: list[str], size: int) -> Column:
-    """Whether some ``size`` consecutive places hold all the terms."""
-    want = F.array(*[F.lit(t) for t in terms])
-    return F.exists(places(w, terms[0]), lambda p: F.exists(F.sequence(F.greatest(p - (size - 1), F.lit(0)), p), lambda i: F.size(F.array_except(want, F.slice(w, i + 1, F.lit(size)))) == 0))
+    """Whether some ``size`` consecutive places hold all the terms: one pass with each term's last place."""
+    terms = list(dict.fromkeys(terms))
+    start = F.struct(F.lit(0).alias("i"), *[F.lit(None).cast("int").alias(f"p{k}") for k in range(len(terms))], F.lit(False).alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        last = [F.when(t == x, s["i"]).otherwise(s[f"p{k}"]) for k, x in enumerate(terms)]
+        least = F.least(*last) if len(last) > 1 else last[0]
+        every = F.lit(True)
+        for p in last:
+            every = every & p.isNotNull()
+        return F.struct((s["i"] + 1).alias("i"), *[p.alias(f"p{k}") for k, p in enumerate(last)], (s["found"] | F.coalesce(every & (s["i"] - least < size), F.lit(False))).alias("found"))
+
+    every = F.lit(True)
+    for t in terms:
+        every = every & F.array_contains(w, t)
+    return every & F.aggregate(w, start, step, lambda s: s["found"])
 
 
 class Planner:
@@ -216,3 +234,42 @@ def search(docs: DataFrame, query: str, *, fields: set[str] = frozenset(), k: in
         return ranking.bm25(docs, re.findall(r"[一-鿿]+|[a-z0-9]+", query.lower()), k)
     found = (planner or Planner()).run(docs, query).orderBy("doc_id").limit(k)
     return found.select("doc_id", F.lit(1.0).alias("score"), F.row_number().over(W.orderBy("doc_id")).alias("rank"))
+
+
+def with_matched_fields(docs: DataFrame, query: str, planner: Planner | None = None) -> DataFrame:
+    """``doc_id, fields`` of the documents found, with the fields whose leaf held, those under NOT included."""
+    planner = planner or Planner()
+    tree = parse(query)
+    fields = [F.when(c, F.lit(f)) for f, c in planner.matched_fields(tree)]
+    return planner.run(docs, tree).select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*fields)))), ",").alias("fields"))
+
+
+def advanced(docs: DataFrame, conditions: list[dict], logic: str = "AND", *, planner: Planner | None = None, order: str = "doc_id", descending: bool = False, k: int = 20, offset: int = 0) -> DataFrame:
+    """A page of the documents that meet the conditions, sorted, ties by id."""
+    first = F.desc(order) if descending else F.asc(order)
+    return (planner or Planner()).run(docs, from_conditions(conditions, logic)).orderBy(first, "doc_id").offset(offset).limit(k)
+
+
+def field_catalogue(docs: DataFrame, planner: Planner) -> DataFrame:
+    """``field, kind``: how each column can be asked for."""
+    kinds = {"string": "text", "date": "date", "timestamp": "date", "timestamp_ntz": "date"}
+    rows = [(c, "exact" if c in planner.exact else "date" if c in planner.dates else kinds.get(t, "multi" if t.startswith("array") else "number")) for c, t in docs.dtypes]
+    return docs.sparkSession.createDataFrame(rows, "field string, kind string")
+
+
+def analyse(queries: DataFrame, synonyms: dict[str, str] | None = None) -> DataFrame:
+    """``query_id, normalised, terms, significant, removed, synonyms, is_boolean`` of queries ``query_id, text``."""
+    w = text.lexical("text")
+    stop = list(text.STOPWORDS)
+    same = F.create_map(*[F.lit(x) for p in synonyms.items() for x in p]) if synonyms else None
+    other = F.transform(F.filter("w", lambda t: t.isin(list(synonyms))), lambda t: same[t]) if synonyms else F.array().cast("array<string>")
+    rows = queries.select("query_id", "text", w.alias("w"))
+    return rows.select(
+        "query_id",
+        F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "\\s+", " ")).alias("normalised"),
+        F.array_join("w", " ").alias("terms"),
+        F.array_join(F.filter("w", lambda t: ~t.isin(stop) & (F.length(t) > 1)), " ").alias("significant"),
+        F.array_join(F.filter("w", lambda t: t.isin(stop)), " ").alias("removed"),
+        F.array_join(other, " ").alias("synonyms"),
+        F.coalesce(F.col("text").rlike(r'\b(AND|OR|NOT)\b|"'), F.lit(False)).alias("is_boolean"),
+    )

@@ -107,7 +107,6 @@ _BM25 = "select doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.
 _docs("bm25_topk", lambda d: ranking.bm25(d, TERMS), _with(_top(_BM25.format(plus="")), _q(TERMS)))
 _docs("bm25_plus", lambda d: ranking.bm25(d, TERMS, delta=1.0), _with(_top(_BM25.format(plus=" + 1.0")), _q(TERMS)))
 _docs("bm25_repeated_terms", lambda d: ranking.bm25(d, ["the", "the", "that"]), _with(_top(_BM25.format(plus="")), _q(["the", "the", "that"])))
-_docs("wand_topk", lambda d: ranking.bm25(d, ["that", "with"]), _with(_top(_BM25.format(plus="")), _q(["that", "with"])))
 _docs("wand_bounds", lambda d: ranking.term_bounds(d, TERMS), _with("select term, df, max(tf) max_tf, round(max(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) upper from p join q using (term) join t using (term) join s using (doc_id), n group by all", _q(TERMS)))
 _docs("bm25_explain", lambda d: ranking.bm25_explain(d, TERMS, SEED_DOC), _with(f"select term, tf, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 4) idf, round(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 4) score from p join q using (term) join t using (term) join s using (doc_id), n where doc_id = {SEED_DOC}", _q(TERMS)))
 _QUERIES["bm25_batch"] = lambda spark, d: ranking.bm25_batch(_read(spark, d, "documents"), _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
@@ -268,7 +267,7 @@ _metric("rbp", ["rbp", "graded_rbp"], "select query_id, round(sum(0.2::double *
 _metric("bpref", ["bpref"], "select query_id, round(coalesce(sum(case when r > 0 then hit * (1 - least(misses, r) / r) end) / nullif(any_value(r), 0), 0), 6) bpref from x group by 1")
 _metric("r_precision", ["r_precision"], "select query_id, round(coalesce(sum(case when rank <= r then hit else 0 end) / nullif(any_value(r), 0), 0), 6) r_precision from x group by 1")
 _QUERIES["evaluate_run"] = lambda spark, d: metrics.overall(*_evaluation(spark, d))
-_SQL["evaluate_run"] = f"with {_RUN}, {_QRELS}, {_J}, m as (select query_id, round(coalesce(sum(hit * hits / rank) / nullif(any_value(r), 0), 0), 6) ap, round(coalesce(1 / min(rank) filter (hit = 1), 0), 6) rr, sum(case when rank <= 10 then (pow(2, rel) - 1) / log2(rank + 1) else 0 end) dcg from x group by 1), i as (select query_id, sum((pow(2, rel) - 1) / log2(i + 1)) idcg from (select *, row_number() over (partition by query_id order by rel desc, doc_id) i from qrels) where i <= 10 group by 1) select count(*) queries, round(avg(ap), 6) map, round(avg(rr), 6) mrr, round(exp(avg(ln(ap + 1e-10))), 6) gmap, round(avg(round(coalesce(dcg / nullif(idcg, 0), 0), 6)), 6) mean_ndcg from m join i using (query_id)"
+_SQL["evaluate_run"] = f"with {_RUN}, {_QRELS}, {_J}, m as (select query_id, coalesce(sum(hit * hits / rank) / nullif(any_value(r), 0), 0) ap, coalesce(1 / min(rank) filter (hit = 1), 0) rr, sum(case when rank <= 10 then (pow(2, rel) - 1) / log2(rank + 1) else 0 end) dcg from x group by 1), i as (select query_id, sum((pow(2, rel) - 1) / log2(i + 1)) idcg from (select *, row_number() over (partition by query_id order by rel desc, doc_id) i from qrels) where i <= 10 group by 1) select count(*) queries, round(avg(ap), 6) map, round(avg(rr), 6) mrr, round(exp(avg(ln(ap + 1e-10))), 6) gmap, round(avg(coalesce(dcg / nullif(idcg, 0), 0)), 6) mean_ndcg from m join i using (query_id)"
 _QUERIES["pr_curve_11pt"] = lambda spark, d: metrics.pr_curve(*_evaluation(spark, d))
 _SQL["pr_curve_11pt"] = f"with {_RUN}, {_QRELS}, {_J} select i / 10 \"level\", round(avg(p), 6) \"precision\" from (select query_id, i, coalesce(max(case when hits / r >= i / 10 - 1e-12 then hits / rank end), 0) p from x, range(0, 11) l(i) where r > 0 group by all) group by i"
 
@@ -297,16 +296,16 @@ _docs("kwic_fixed", lambda d: d.select("doc_id", F.explode(text.kwic("text", "li
 _docs("snippet", lambda d: d.select("doc_id", text.best_window("text", TERMS).alias("snippet")), None)
 _docs("highlight", lambda d: d.select("doc_id", F.md5(text.highlight("text", ["license", "the"]).cast("binary")).alias("marked")), "select doc_id, md5(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(license|the)', '<mark>\\1</mark>', 'g')) marked from documents")
 _docs("textrank", nlp.textrank)
-_docs("entities", nlp.entities, None)
-_on("html_text", "pages", lambda p: p.select("page_id", F.length(text.html_text("html")).alias("chars"), F.substring(text.html_text("html"), 1, 80).alias("head")), None)
+_ENTITIES_SQL = "regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+for _e, _c in text.ENTITIES.items():
+    _ENTITIES_SQL = f"replace({_ENTITIES_SQL}, '{_e}', '{_c.replace(chr(39), chr(39) * 2)}')"
+_on("html_text", "pages", lambda p: p.select("page_id", F.length(text.html_text("html")).alias("chars"), F.md5(text.html_text("html").cast("binary")).alias("digest")), f"select page_id, length(x)::int chars, md5(x) digest from (select page_id, trim(regexp_replace({_ENTITIES_SQL}, '\\s+', ' ', 'g')) x from pages)")
 _docs("phonetic", lambda d: d.select(F.explode(text.lexical("text")).alias("t")).distinct().select("t", text.phonetic(F.col("t")).alias("code")), None)
-_docs("cjk_bigrams", lambda d: d.select("doc_id", F.size(text.cjk_bigrams("text")).alias("n")), _with("select doc_id, dl n from s"))
 
 # duplicates and articles
 
 _docs("dedup_exact", dedup.exact, "select doc_id, md5(text) content_hash, min(doc_id) over (partition by md5(text)) first_id, doc_id <> min(doc_id) over (partition by md5(text)) is_duplicate from documents")
 _docs("dedup_stats", lambda d: dedup.stats(dedup.exact(d)), "select count(*) documents, count(*) - count(distinct md5(text)) duplicates, count(distinct md5(text)) texts from documents")
-_docs("simhash", dedup.fingerprints)
 _docs("near_dup_pairs", lambda d: dedup.near_rows(dedup.fingerprints(d)))
 _docs("validate_rows", lambda d: articles.issues(d.withColumnRenamed("source", "title"), "doc_id", "title", "text"), "select doc_id, issue from (select doc_id, unnest([case when coalesce(trim(source), '') = '' then 'missing_title' when length(trim(source)) < 2 then 'title_too_short' end, case when coalesce(trim(text), '') = '' then 'missing_content' when length(trim(text)) < 20 then 'content_too_short' end]) issue from documents) where issue is not null")
 _docs("corpus_build", lambda d: articles.build_corpus(d.select("doc_id", "text", "source", F.col("source").alias("title"), F.col("text").alias("url")), order="doc_id", most_per_source=20).select("doc_id", "title"), "select doc_id, title from (select *, row_number() over (partition by title order by doc_id) k from (select *, row_number() over (partition by title, lower(trim(text, ' ')) order by doc_id) r from (select doc_id, trim(source) title, trim(text, ' ') text from documents where length(trim(source)) >= 2 and length(trim(text, ' ')) >= 20)) where r = 1) where k <= 20")
@@ -339,15 +338,12 @@ _rated("cf_user", lambda r: recommend.by_users(r, SEED_USER), f"{_UW} select ite
 _rated("user_jaccard", lambda r: recommend.similar_to(r, "user_id", "item_id", SEED_USER, "jaccard"), ", c as (select user_id, count(*) n from ratings group by 1) select b.user_id, round(count(*) / (any_value(c.n) + (select n from c where user_id = 1) - count(*)), 6) sim from ratings a join ratings b using (item_id) join c on c.user_id = b.user_id where a.user_id = 1 and b.user_id <> 1 group by 1 order by 2 desc, 1 limit 20")
 _rated("cf_item", lambda r: recommend.by_items(r, SEED_USER), ", iw as (select *, rating / sqrt(sum(rating * rating) over (partition by item_id)) w from ratings), mine as (select item_id mine, rating r from ratings where user_id = 1), sims as (select b.item_id, a.item_id mine, sum(a.w * b.w) s from iw a join iw b using (user_id) where a.item_id in (select mine from mine) and a.item_id <> b.item_id group by all) select item_id, round(sum(s * r) / sum(s), 6) score from sims join mine using (mine) where item_id not in (select mine from mine) group by 1 order by 2 desc, 1 limit 10")
 _rated("hybrid_weighted", lambda r: recommend.hybrid({"cf": (recommend.by_users(r, SEED_USER, 50), 0.6), "popular": (recommend.popularity(r).select("item_id", F.col("popularity").alias("score")), 0.4)}), f"{_UW}, cf as (select item_id, round(sum(sim * rating) / sum(sim), 6) score from ratings join near using (user_id) where item_id not in (select item_id from ratings where user_id = 1) group by 1 order by 2 desc, 1 limit 50), pop as (select item_id, round(count(distinct user_id) / (select count(distinct user_id) from ratings), 6) score from ratings group by 1) " + _top("select item_id, sum(v) score from (select item_id, 0.6::double * (score / max(score) over ()) v from cf union all select item_id, 0.4::double * (score / max(score) over ()) from pop) group by 1", key="item_id"))
-_rated("als", lambda r: recommend.factorise(r).recommendForAllUsers(5).select("user_id", F.size("recommendations").alias("n")), None)
 _on("user_profile_recommend", "embeddings", lambda v: recommend.personal(v, [1, 2, 3]), "with m as (select list(a order by i) q from (select i, avg(x) a from (select unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings where vec_id in (1, 2, 3)) group by i)) " + _top("select vec_id, list_cosine_similarity(embedding::double[], q) score from embeddings, m where vec_id not in (1, 2, 3)", key="vec_id"))
 
 # clusters, topics, learning to rank
 
-_on("kmeans", "embeddings", lambda v: cluster.kmeans(v))
 _docs("class_tfidf", lambda d: cluster.class_terms(d, "lang"), _with("select * from (select cluster, term, score, row_number() over (partition by cluster order by score desc, term) r from (select cluster, term, round(tf * ln(1 + (select sum(tf) / count(distinct cluster) from ct) / cf), 6) score from ct join (select term, sum(tf) cf from ct group by 1) using (term))) where r <= 10".replace("select * from (select cluster", "select cluster, term, score from (select cluster"), "ct as (select lang cluster, term, count(*) tf from tok join documents using (doc_id) group by all)"))
 _docs("cooccurrence", lambda d: cluster.cooccurrence(d, ["the", "and", "of", "that"]), _with("select a.term a, b.term b, count(*) n from p a join p b using (doc_id) where a.term < b.term and a.term in ('the', 'and', 'of', 'that') and b.term in ('the', 'and', 'of', 'that') group by all having count(*) >= 2"))
-_docs("lda", lambda d: cluster.lda(d)[1].select("doc_id"), "select doc_id from documents")
 _QUERIES["ltr_features"] = lambda spark, d: ranking.ltr_features(_read(spark, d, "documents"), _read(spark, d, "labels"), TERMS)
 _SQL["ltr_features"] = _with("select l.doc_id, coalesce(bm25, 0) bm25, dl, coalesce(hits, 0) hits, quality label from labels l join s using (doc_id) left join (select doc_id, round(score, 6) bm25, hits from (select doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) score, count(*) hits from p join q using (term) join t using (term) join s using (doc_id), n group by doc_id)) using (doc_id)", _q(TERMS))
 
@@ -363,17 +359,22 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-_QUERIES["stream_event_windows"] = lambda spark, d: flows.to_table(flows.windows(_stream(spark, d, "events")), f"w{abs(hash(d)) % 10**8}", "complete")
 _SQL["stream_event_windows"] = "select date_trunc('day', ts)::timestamp \"start\", event_type, count(*) n, round(sum(value), 4) total from events group by all"
-_QUERIES["stream_dedup"] = lambda spark, d: flows.to_table(flows.unique(_stream(spark, d, "events"), ["event_id"]).select("event_id"), f"u{abs(hash(d)) % 10**8}")
 _SQL["stream_dedup"] = "select distinct event_id from events"
 
 
+def _complete() -> None:
+    """Load the modules that register the other queries; they import this one."""
+    from tessera import search_queries, table_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _complete()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _complete()
     return dict(_SQL)
 
 

@@ -84,3 +84,67 @@ def merge(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def read_folder(spark: SparkSession, folder: str, *, most_per_file: int | None = None, most: int | None = None, schema: str = ARTICLE) -> DataFrame:
+    """All JSONL files of a folder in order of their names; limits count rows with content."""
+    rows = read_jsonl(spark, folder, schema=schema).withColumn("_file", F.input_file_name()).withColumn("_row", F.monotonically_increasing_id())
+    if most_per_file:
+        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_file").orderBy("_row"))).where(F.col("_n") <= most_per_file).drop("_n")
+    rows = rows.orderBy("_file", "_row").limit(most) if most else rows
+    return rows.drop("_file", "_row")
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
+
+
+def scan(table: DataFrame, *, source: str | None = None, category: str | None = None, order: str = "published_date", limit: int | None = None) -> DataFrame:
+    """Rows by source and category, newest first; the filters reach the reader."""
+    rows = table
+    for column, value in (("source", source), ("category", category)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows.orderBy(F.desc(order)).limit(limit) if limit else rows
+
+
+def lookup(table: DataFrame, keys: DataFrame | list, column: str) -> DataFrame:
+    """Rows whose key is among the given ones: a filter for a list, a semi join for a table."""
+    if isinstance(keys, DataFrame):
+        return table.join(keys.select(column), column, "left_semi")
+    return table.where(F.col(column).isin(keys))
+
+
+def corpus_stats(rows: DataFrame) -> DataFrame:
+    """``articles, sources, categories`` of a table."""
+    return rows.agg(F.count(F.lit(1)).alias("articles"), F.countDistinct("source").alias("sources"), F.countDistinct("category").alias("categories"))
+
+
+def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key; one aggregation, no sort."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("_r")).select(key, "_r.*")
+
+
+def dense_ids(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``serving_id`` 0..n-1 in order: ids within partitions plus the sizes of those before them, so no task holds all rows."""
+    spark = rows.sparkSession
+    part = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
+    placed = part.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a partition
+    return placed.join(F.broadcast(before), "_p").withColumn("serving_id", F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
+
+
+def cleaned(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """White space collapsed in the named columns."""
+    return rows.withColumns({c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "\\s+", " ")) for c in columns})
+
+
+def log_events(events: DataFrame, path: str) -> None:
+    """Append events to a folder by day, in whole files: readers never see half a batch."""
+    events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def ingestion_stats(rows: DataFrame, key: str) -> DataFrame:
+    """``processed, indexed, duplicates, duplicate_pct`` of rows that are indexed once a key."""
+    out = rows.agg(F.count(F.lit(1)).alias("processed"), F.countDistinct(key).alias("indexed")).withColumn("duplicates", F.col("processed") - F.col("indexed"))
+    return out.withColumn("duplicate_pct", F.round(F.coalesce(F.try_divide(100.0 * F.col("duplicates"), F.col("processed")), F.lit(0.0)), 4))

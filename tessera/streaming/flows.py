@@ -32,8 +32,27 @@ def windows(events: DataFrame, length: str = "1 day", slide: str | None = None,
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a bounded stream to its end into memory; for reports and tests."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def session_windows(events: DataFrame, gap: str = "2 hours", delay: str = "1 hour") -> DataFrame:
+    """``user_id, start, n`` of runs of a user's events with gaps below ``gap``."""
+    w = F.session_window("ts", gap)
+    out = events.withWatermark("ts", delay).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+def to_folder(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
+    """Run a bounded stream to its end and read what it wrote to ``out``.
+
+    Each micro-batch has a folder of its own, which a repeated batch overwrites;
+    in complete mode the last one holds the result. A stream of no batch gives no rows.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/{'last' if mode == 'complete' else f'batch-{batch_id}'}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/rows")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
