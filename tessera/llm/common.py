@@ -32,9 +32,12 @@ _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, as in tests, an own one."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, an own one in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -55,16 +58,26 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     schema = df.schema
     del df
-    spark._jvm.System.gc()
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan holds any more: it does so when the driver's garbage is collected."""
+    spark._jvm.System.gc()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def remove(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Delete scratch tables that no later plan reads."""
     for table in tables:
         paths = [table] if isinstance(table, str) else sorted({f.rpartition("/")[0] for f in table.inputFiles()})
         for path in paths:
-            if "/tessera/" in path:
+            if "/tessera/" in path or "/run-" in path:
                 p = spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

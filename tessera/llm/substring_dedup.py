@@ -7,16 +7,23 @@ that also starts anywhere else is removed; windows are judged on the input.
    the ``gram``-word runs in it. Equal windows have equal minimizers, and a
    minimizer serves many neighbouring windows, so the index holds a few
    hundredths of the windows and misses none.
-2. Index. ``FingerprintIndex`` keeps sorted immutable runs ``(fp, n)``. A new
-   batch is sorted, merge-joined with the runs (both sides are equi-joined on
-   ``fp``), appended as a run, and runs are compacted level by level.
-3. Verification. Only windows whose minimizer was seen at least twice are
-   hashed in full (two 64-bit hashes) and counted.
-4. Removal. Texts with counted windows are read once more and cut.
+2. Index. ``FingerprintIndex`` keeps sorted immutable runs of postings ``(fp, k,
+   ta, copies)``. A new batch becomes a run and is merge-joined with the runs
+   before it; its fingerprints that are repeated, in the batch or since before,
+   are what the join returns. Only they go on.
+3. Verification. Windows whose minimizer is repeated are hashed in full (two
+   64-bit hashes) and counted, in the batch's texts and in the older ones that
+   the index names.
+4. Removal. Texts with counted windows are read once more and cut. Then the index
+   is compacted, level by level.
 
 Rows with equal texts are collapsed beforehand: each of their windows is
 repeated by definition, so one of them stands for all with weight two.
 
+``find_repeats`` without an index splits its input into batches of its own. With
+an ``index`` of earlier input and that input as ``history``, the new rows alone
+are indexed, judged and cut; older rows stay as they are.
+
 Defined results: a null or empty text has no words and loses none; a text with
 fewer than ``window`` words loses none; ids may be null or repeated; other
 columns are ignored.
@@ -25,6 +32,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +46,8 @@ WINDOW = 35
 GRAM = 8
 #: Runs of one level that are compacted into one of the next.
 FAN_IN = 4
+#: Copies of a repeated text's count, so that no task holds all rows of a text.
+SALTS = 16
 #: Stands for a null id in joins, beside the text's hash.
 NO_ID = -(1 << 63)
 
@@ -50,50 +60,75 @@ def identity() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("ta"), F.xxhash64(F.lit(1), text).alias("tb")]
 
 
-class FingerprintIndex:
-    """Sorted immutable runs of ``(fp, n)`` in the shared folder, newest last."""
+POSTING = "fp long, k long, ta long, copies int"
 
-    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
-        self.spark, self.fan_in = spark, fan_in
-        self.runs: list[tuple[int, DataFrame]] = []
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        return common.save(rows.groupBy("fp").agg(F.sum("n").alias("n")).sortWithinPartitions("fp"), "run")
+class FingerprintIndex:
+    """Sorted immutable runs of postings ``(fp, k, ta, copies)`` in the shared folder, newest last.
+
+    ``folder``: where a list of the runs is kept, so that a later session opens the same index.
+    """
 
-    def history(self) -> DataFrame:
-        out = self.spark.createDataFrame([], "fp long, n long")
-        for _, run in self.runs:
+    def __init__(self, spark: SparkSession, folder: str | None = None, fan_in: int = FAN_IN):
+        self.spark, self.folder, self.fan_in = spark, folder, fan_in
+        self.runs: list[tuple[int, DataFrame, str]] = []
+        self.garbage: list[str] = []
+        if folder and common.exists(spark, f"{folder}/runs"):
+            for r in spark.read.schema("place int, level int, path string").json(f"{folder}/runs").orderBy("place").collect():  # the runs, not their rows
+                self.runs.append((r["level"], spark.read.schema(POSTING).parquet(r["path"]), r["path"]))
+
+    def _write(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{self.folder}/run-{uuid.uuid4().hex}" if self.folder else common.scratch_path(self.spark, "run")
+        rows.select("fp", "k", "ta", F.col("copies").cast("int").alias("copies")).repartition("fp").sortWithinPartitions("fp").write.parquet(path)
+        common.release(self.spark)
+        return self.spark.read.schema(POSTING).parquet(path), path
+
+    def _list(self) -> None:
+        if self.folder:
+            rows = [(i, level, path) for i, (level, _, path) in enumerate(self.runs)]
+            self.spark.createDataFrame(rows, "place int, level int, path string").coalesce(1).write.mode("overwrite").json(f"{self.folder}/runs")
+
+    def postings(self) -> DataFrame:
+        out = self.spark.createDataFrame([], POSTING)
+        for _, run, _ in self.runs:
             out = out.unionByName(run)
         return out
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """File a batch ``(fp, n)``; return its fingerprints with their counts before it (null: new)."""
-        run = self._write(batch)
-        before = self.history().groupBy("fp").agg(F.sum("n").alias("before"))
-        seen = run.hint("merge").join(before, "fp", "left")
-        self.runs.append((0, run))
+        """File a batch of postings; return its fingerprints ``fp`` that are repeated, within it or by an older run, as a scratch table."""
+        before = self.postings().select("fp").distinct().withColumn("old", F.lit(True)) if self.runs else None
+        run, path = self._write(batch)
+        now = run.groupBy("fp").agg(F.sum("copies").alias("n"))
+        met = now.withColumn("old", F.lit(None).cast("boolean")) if before is None else now.join(before.hint("merge"), "fp", "left")
+        seen = common.save(met.where("n >= 2 or old").select("fp"), "seen")
+        self.runs.append((0, run, path))
+        self._list()
         return seen
 
+    def matched(self, seen: DataFrame) -> DataFrame:
+        """``k, ta, copies, repeated`` of the texts, new or old, that hold fingerprints in ``seen``."""
+        return self.postings().join(seen.hint("merge"), "fp").groupBy("k", "ta").agg(F.max("copies").alias("copies"), F.collect_set("fp").alias("repeated"))
+
     def compact(self, everything: bool = False) -> None:
-        """Merge runs where a level is full, or all of them."""
+        """Merge runs where a level is full, or all of them; old runs go only after the list names the new one."""
         while True:
-            for level in sorted({lv for lv, _ in self.runs}):
+            for level in sorted({lv for lv, _, _ in self.runs}):
                 mine = [r for r in self.runs if everything or r[0] == level]
                 if len(mine) >= (2 if everything else self.fan_in):
                     merged = mine[0][1]
-                    for _, run in mine[1:]:
+                    for _, run, _ in mine[1:]:
                         merged = merged.unionByName(run)
-                    out = self._write(merged)
-                    self.runs = [r for r in self.runs if r not in mine] + [(level + 1, out)]
-                    common.remove(self.spark, *[r for _, r in mine])
+                    out, path = self._write(merged)
+                    self.runs = [r for r in self.runs if r not in mine] + [(max(r[0] for r in mine) + 1, out, path)]
+                    self._list()
+                    common.remove(self.spark, *[p for _, _, p in mine])
                     break
             else:
                 return
 
-    def repeated(self) -> DataFrame:
-        """Fingerprints seen at least twice, from the compacted index."""
-        self.compact(everything=True)
-        return self.history().where("n >= 2")
+    def delete(self) -> None:
+        common.remove(self.spark, *[p for _, _, p in self.runs])
+        self.runs = []
 
 
 def minimizers(words: common.Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -190,37 +225,54 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("k", "ta", "text", "w").transform(common.map_arrow, run, "k long, ta long, n_removed long, kept string")
 
 
-def find_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, batches: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(facts, cuts) for ``docs(doc_id, text)``.
 
     facts: ``k, ta, tb, n_words, sha, copies`` of each row; a row with copies > 1
     and at least ``window`` words loses all its words. cuts: ``k, ta, n_removed,
     kept`` of the other rows that lose words. Both are scratch tables.
+
+    ``index``: one that holds earlier input, which ``history(doc_id, text)`` is;
+    this input is added to it as one batch.
     """
     spark = docs.sparkSession
     docs = common.columns_of(docs, "doc_id", "text")
     facts = common.save(_signatures(docs, window, gram), "signatures")
     texts = facts.groupBy("ta", "tb").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("copies"), F.any_value("anchors").alias("anchors"))
-    anchors = common.save(texts.where(F.size("anchors") > 0).select("k", "ta", F.least("copies", F.lit(2)).alias("copies"), F.explode("anchors").alias("fp")), "anchors")
-    index = FingerprintIndex(spark)
-    for b in range(batches):
-        index.add(anchors.where(F.pmod("ta", F.lit(batches)) == b).select("fp", F.col("copies").cast("long").alias("n")))
-        index.compact()
-    marked = anchors.join(index.repeated(), "fp").groupBy("k", "ta", "copies").agg(F.collect_set("fp").alias("repeated"))
-    marked = common.save(marked, "marked")
-    common.remove(spark, anchors, *[r for _, r in index.runs])
-    likely = common.with_members(docs.select(*identity(), "text"), "ta", marked)
+    anchors = common.save(texts.where(F.size("anchors") > 0).select("k", "ta", F.least("copies", F.lit(2)).cast("int").alias("copies"), F.explode("anchors").alias("fp")), "anchors")
+    own = index or FingerprintIndex(spark)
+    if index is not None:
+        seen = index.add(anchors)
+    else:
+        parts = [own.add(anchors.where(F.pmod("ta", F.lit(batches)) == b)) for b in range(batches)]
+        seen = parts[0]
+        for part in parts[1:]:
+            seen = seen.unionByName(part)
+        seen = seen.distinct()
+    common.remove(spark, anchors)
+    marked = common.save(own.matched(seen), "marked")
+    common.remove(spark, *([seen] if index is not None else parts))
+    if index is None:
+        own.delete()
+    every = docs.select(*identity(), "text", F.lit(True).alias("fresh"))
+    if history is not None:
+        every = every.unionByName(common.columns_of(history, "doc_id", "text").select(*identity(), "text", F.lit(False).alias("fresh")))
+    likely = common.with_members(every, "ta", marked)
     candidates = common.save(likely.join(marked.hint("merge"), ["k", "ta"]), "candidates")
     common.remove(spark, marked)
     # The windows are hashed twice from the few candidates rather than written out.
     twice = common.save(_candidate_windows(candidates, window, gram).groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n >= 2").select("w1", "w2"), "twice")
-    single = candidates.where("copies = 1")
+    single = candidates.where("copies = 1 and fresh")
     hits = common.save(_candidate_windows(single, window, gram).select("k", "ta", "w1", "w2").join(twice.hint("merge"), ["w1", "w2"]).groupBy("k", "ta").agg(F.collect_set("w1").alias("w")), "hits")
     common.remove(spark, twice)
     cuts = common.save(_cut(single.join(hits, ["k", "ta"]), window), "cuts")
     common.remove(spark, candidates, hits)
-    counts = facts.groupBy("ta", "tb").agg(F.count(F.lit(1)).alias("copies"))
-    return facts.select("k", "ta", "tb", "n_words", "sha").join(counts, ["ta", "tb"]), cuts
+    if index is not None:
+        index.compact()
+    # Rows of one text may be many: each meets one of SALTS copies of its text's count. Texts of one row need none.
+    counts = facts.groupBy("ta", "tb").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = facts.select("k", "ta", "tb", "n_words", "sha", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(counts, ["ta", "tb", "salt"], "left").select("k", "ta", "tb", "n_words", "sha", F.coalesce("copies", F.lit(1)).alias("copies")), cuts
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
