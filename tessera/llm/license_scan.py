@@ -2,11 +2,14 @@
 
 The automaton of all templates' word sequences is walked once per text: after
 each word it gives the longest run of words ending there that occurs in some
-template (the matching statistic). A phrase stands at a place exactly when the
+template, and by the state's suffix links in each one (the matching statistics). A phrase stands at a place exactly when the
 statistic there is at least its length and the automaton's state has it as a
-suffix. Runs of ``LEAST`` words or more that cannot be prolonged are chained per
-template, in order in both text and template; a chain that covers ``COVERED`` of
-a template adds the template's label.
+suffix. Runs of ``LEAST`` words or more that cannot be prolonged within a template
+are its pieces, one for each place where it has them. The best chain of pieces, in order in both
+text and template with at most ``GAP`` words of text between them, is found by
+dynamic programming for each piece that may end one; a chain that covers ``COVERED``
+of a template adds the template's label. Templates are whole public licences as well
+as the sentences by which texts refer to them.
 
 Defined results: null and empty texts have no words, no places and score 0;
 repeated rows and equal texts get equal values; other columns are ignored.
@@ -44,6 +47,15 @@ TEMPLATES = {
     "mit-release": "released under the mit license",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "apache-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "bsd-2-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-3-clause": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
 }
 
 #: Words of a match that takes part in a chain; words of text between chained matches; share of a template to cover.
@@ -61,8 +73,8 @@ class State:
     length: int
     link: int = -1
     next: dict[int, int] = field(default_factory=dict)
-    #: (template, words before the end of the state's longest run) of one occurrence in each template.
-    ends: dict[int, int] = field(default_factory=dict)
+    #: template -> the places, in words, where the state's runs end in it.
+    ends: dict[int, set[int]] = field(default_factory=dict)
     #: (words, base label) of the phrases that end here.
     phrases: list[tuple[int, str]] = field(default_factory=list)
 
@@ -81,12 +93,13 @@ class Automaton:
             last = 0
             for at, word in enumerate(seq):
                 last = self._extend(last, self.vocabulary[word])
-                self.states[last].ends.setdefault(k, at + 1)
+                self.states[last].ends.setdefault(k, set()).add(at + 1)
         for s in sorted(range(1, len(self.states)), key=lambda i: -self.states[i].length):
             up = self.states[self.states[s].link]
-            for k, end in self.states[s].ends.items():
-                up.ends.setdefault(k, end)
+            for k, places in self.states[s].ends.items():
+                up.ends.setdefault(k, set()).update(places)
         self.states[0].ends.clear()
+        self._at: dict[int, list[tuple[int, int]]] = {}
         for phrase, label in base.items():
             s = 0
             for word in phrase.encode().split():
@@ -117,13 +130,26 @@ class Automaton:
         """The part of state ``to`` that is reached from p's runs gets a state of its own."""
         st = self.states
         part = len(st)
-        st.append(State(st[p].length + 1, st[to].link, dict(st[to].next), dict(st[to].ends)))
+        st.append(State(st[p].length + 1, st[to].link, dict(st[to].next)))
         st[to].link = part
         while p >= 0 and st[p].next.get(word) == to:
             st[p].next[word] = part
             p = st[p].link
         return part
 
+    def templates_at(self, state: int) -> list[tuple[int, int]]:
+        """(template, state) of every template that holds a suffix of the state's runs, each with its longest such state."""
+        got = self._at.get(state)
+        if got is None:
+            seen: dict[int, int] = {}
+            up = state
+            while up > 0:
+                for k in self.states[up].ends:
+                    seen.setdefault(k, up)
+                up = self.states[up].link
+            got = self._at[state] = sorted(seen.items())
+        return got
+
     def statistics(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(place, state, length) after each word of the templates' vocabulary; other words end every match."""
         st, state, length, before = self.states, 0, 0, -2
@@ -141,35 +167,61 @@ class Automaton:
             yield at, state, length
 
 
+def chains(pieces: list[tuple[int, int, int, int]], gap: int = GAP) -> list[tuple[int, int, int]]:
+    """(text start, text end, template words covered) of the best chains, none sharing a place of the text; the best one comes first.
+
+    A piece may follow one that ends before it in both text and template, at most ``gap``
+    words of text earlier; where they overlap, only what is new counts.
+    """
+    pieces = sorted(set(pieces), key=lambda p: (p[1], p[3]))
+    covered, start = [p[1] - p[0] for p in pieces], [p[0] for p in pieces]
+    longest = max((p[1] - p[0] for p in pieces), default=0)
+    low = 0
+    for i, p in enumerate(pieces):
+        while pieces[low][1] < p[1] - longest - gap:  # ends too early for any piece from here on
+            low += 1
+        for j in range(low, i):
+            q = pieces[j]
+            if p[0] - q[1] <= gap and q[1] < p[1] and q[3] < p[3]:
+                new = covered[j] + min(p[1] - p[0], p[1] - q[1], p[3] - q[3])
+                if new > covered[i] or (new == covered[i] and start[j] > start[i]):
+                    covered[i], start[i] = new, start[j]
+    out: list[tuple[int, int, int]] = []
+    for i in sorted(range(len(pieces)), key=lambda i: (-covered[i], pieces[i][1])):
+        a, b = start[i], pieces[i][1]
+        if all(b <= x or a >= y for x, y, _ in out):
+            out.append((a, b, covered[i]))
+    return out
+
+
 def scan(machine: Automaton, words: list[bytes]) -> dict:
     """Base places, spans of chained matches, and the labels and score they give."""
     places: list[tuple[int, str]] = []
-    matches: list[tuple[int, int, int]] = []
-    held: tuple[int, int, int] | None = None
+    pieces: dict[int, list[tuple[int, int, int, int]]] = {}  # template: (text start, text end, template start, template end)
+    held: dict[int, tuple[int, int, int]] = {}  # template: place, state and length of the run that ends there
+
+    def close(k: int) -> None:
+        at, state, length = held.pop(k)
+        pieces.setdefault(k, []).extend((at - length + 1, at + 1, end - length, end) for end in machine.states[state].ends[k])
+
     for at, state, length in machine.statistics(words):
-        if held and not (at == held[0] + 1 and length == held[2] + 1):
-            matches.append(held)
-        held = (at, state, length) if length >= LEAST else None
+        now = {k: (at, own, min(length, machine.states[own].length)) for k, own in machine.templates_at(state)} if length >= LEAST else {}
+        for k, (last, _, before) in list(held.items()):
+            if k not in now or last != at - 1 or now[k][2] != before + 1:
+                close(k)
+        held.update((k, v) for k, v in now.items() if v[2] >= LEAST)
         for size, label in machine.states[state].phrases:
             if length >= size:
                 places.append((at - size + 1, label))
-    if held:
-        matches.append(held)
-    chains: dict[int, list[tuple[int, int, int, int, int]]] = {}  # template: (text start, text end, template start, template end, covered)
-    for at, state, length in matches:
-        for k, end in machine.states[state].ends.items():
-            size = min(length, end)
-            piece = (at - size + 1, at + 1, end - size, end, size)
-            mine = chains.setdefault(k, [])
-            if mine and piece[0] - mine[-1][1] <= GAP and piece[3] > mine[-1][3] and piece[1] > mine[-1][1]:
-                a = mine[-1]
-                new = min(size, piece[1] - a[1], piece[3] - a[3])
-                mine[-1] = (a[0], piece[1], a[2], piece[3], a[4] + new)
-            else:
-                mine.append(piece)
-    spans = [(machine.names[k], a, b, c / machine.lengths[k]) for k, found in chains.items() if k >= machine.base_count for a, b, _, _, c in found if c >= COVERED * machine.lengths[k]]
+    for k in list(held):
+        close(k)
+    spans, best = [], 1.0 if places else 0.0
+    for k, own in pieces.items():
+        for a, b, covered in chains(own):
+            best = max(best, covered / machine.lengths[k])
+            if k >= machine.base_count and covered >= COVERED * machine.lengths[k]:
+                spans.append((machine.names[k], a, b, covered / machine.lengths[k]))
     base = {label for _, label in places}
-    best = max([1.0] * bool(places) + [c / machine.lengths[k] for k, found in chains.items() for *_, c in found], default=0.0)
     return {"places": places, "spans": sorted(spans), "base": base, "labels": base | {s[0] for s in spans}, "score": min(1.0, best)}
 
 
