@@ -20,6 +20,7 @@ one by one, so equal texts get equal values; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +48,10 @@ _letters: list[np.ndarray] = []
 
 
 def allowance(term: str) -> int:
-    return 0 if term.endswith("*") or len(term) < 5 else 1 if len(term) < 9 else 2
+    """Edits by which a word may differ from a term; from a word beginning (six letters at most), less."""
+    if term.endswith("*"):
+        return 1 if len(term) > 6 else 0
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 @dataclass
@@ -96,6 +100,8 @@ def build(terms: list[str]) -> Matcher:
     def step(states: frozenset, letter: int) -> frozenset:
         out: dict[int, int] = {}
         for node, e in states:
+            if ends[node] >= 0 and terms[ends[node]].endswith("*"):
+                out[node] = min(out.get(node, 99), e)  # a word beginning once read stays read
             if e + 1 <= spare[node]:
                 out[node] = min(out.get(node, 99), e + 1)
             for c, to in children[node].items():
@@ -105,10 +111,9 @@ def build(terms: list[str]) -> Matcher:
         return closed(out)
 
     def result(states: frozenset) -> tuple[int, int, bool]:
-        hits = [(e, ends[n]) for n, e in states if ends[n] >= 0 and e <= allowance(terms[ends[n]])]
-        stems = [h for h in hits if terms[h[1]].endswith("*")]
-        e, k = min(stems or hits, default=(0, -1))
-        return k, e, bool(stems)
+        hits = [(e, not terms[ends[n]].endswith("*"), ends[n]) for n, e in states if ends[n] >= 0 and e <= allowance(terms[ends[n]])]
+        e, is_word, k = min(hits, default=(0, True, -1))
+        return k, e, bool(hits) and not is_word and e == 0
 
     start = closed({0: 0})
     number = {start: 0, frozenset(): 1}
@@ -130,18 +135,17 @@ def build(terms: list[str]) -> Matcher:
 
 def _classes(matcher: Matcher) -> tuple[np.ndarray, np.ndarray]:
     if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(0xFFFF)] + [False]))
-    classes = np.zeros(0x10000, dtype=np.int32)
+        _letters.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    classes = np.zeros(0x110000, dtype=np.int32)
     for c, k in matcher.alphabet.items():
-        if ord(c) < 0xFFFF:
-            classes[ord(c)] = k
+        classes[ord(c)] = k
     return _letters[0], classes
 
 
 def find(matcher: Matcher, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
     """(start, end, term, distance) of the lexicon hits in each lower-cased text."""
     letters, classes = _classes(matcher)
-    code = np.minimum(np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF)
+    code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     first = np.cumsum([0] + [len(t) + 1 for t in texts])
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     alpha = letters[code]
@@ -164,15 +168,41 @@ def find(matcher: Matcher, texts: list[str]) -> list[list[tuple[int, int, int, i
     return out
 
 
-def is_mention(text: str, start: int, end: int) -> bool:
-    """Whether the hit stands inside quotation marks of its line, or after an announcing word."""
-    a, b = text.rfind("\n", max(0, start - 400), start) + 1, text.find("\n", end, end + 400)
-    before, after = text[max(a, start - 400) : start], text[end : b if b >= 0 else end + 400]
-    for left, right in QUOTES.items():
-        is_open = before.count(left) % 2 == 1 if left == right else before.rfind(left) > before.rfind(right)
-        if is_open and right in after:
-            return True
-    return bool(ANNOUNCE & set(_WORD.findall(before)[-CONTEXT:]))
+class Quotes:
+    """Where the quotation marks and line ends of a text are, found once, whatever the length of its lines."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.lines = [m.start() for m in re.finditer("\n", text)]
+        self.marks = {p: ([m.start() for m in re.finditer(re.escape(p[0]), text)], [m.start() for m in re.finditer(re.escape(p[1]), text)]) for p in QUOTES.items() if p[0] in text}
+
+    def is_mention(self, start: int, end: int) -> bool:
+        """Whether the hit stands inside quotation marks of its line, or after an announcing word."""
+        i = bisect_left(self.lines, start)
+        a, b = self.lines[i - 1] + 1 if i else 0, self.lines[i] if i < len(self.lines) else len(self.text)
+        for (left, right), (opens, closes) in self.marks.items():
+            o = bisect_left(opens, start)
+            if left == right:
+                is_open = (o - bisect_left(opens, a)) % 2 == 1
+            else:
+                c = bisect_left(closes, start)
+                is_open = o > 0 and opens[o - 1] >= max(a, closes[c - 1] + 1 if c else 0)
+            if is_open:
+                c = bisect_left(closes, end)
+                if c < len(closes) and closes[c] < b:
+                    return True
+        return bool(ANNOUNCE & set(_words_before(self.text, max(a, 0), start)))
+
+
+def _words_before(text: str, low: int, start: int) -> list[str]:
+    """The ``CONTEXT`` words before a place, none of them before ``low``; the text is read backwards as far as they reach."""
+    reach = 64
+    while True:
+        at = max(low, start - reach)
+        found = [m for m in _WORD.finditer(text, at, start)]
+        if at == low or len(found) > CONTEXT:  # the first word found may be cut
+            return [m.group() for m in found[-CONTEXT:]]
+        reach *= 4
 
 
 @dataclass
@@ -185,9 +215,10 @@ class ToxicityModel:
         out = []
         for text, hits in zip(low, find(self.matcher, low), strict=True):
             clean, mention = 1.0 - BASE_SCORE, 0.0
+            quotes = Quotes(text) if hits else None
             for start, end, term, distance in hits:
                 w = self.weight.get((term, distance), UNSEEN)
-                if is_mention(text, start, end):
+                if quotes.is_mention(start, end):
                     mention = max(mention, w * MENTION)
                 else:
                     clean *= 1 - w
