@@ -16,7 +16,7 @@ pattern found in the text, else ``prose``.
 Targets: ``targets[column][value]`` are shares; values without one share what is
 left in proportion to tokens ** ``temper``. Default: that rule alone.
 
-Defined results: null source or lang is the value ``(none)``; null and empty
+Defined results: null source, lang or topic is the value ``(none)``; null and empty
 texts have no tokens and probability 0; a row with a null id is drawn as id
 "null"; repeated rows share one draw; an empty table gives an empty result.
 """
@@ -61,10 +61,15 @@ def draw_of(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
+def cell_of(docs: DataFrame) -> dict[str, Column]:
+    """A row's source, language and topic, none of them null."""
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    return {"source": value("source"), "lang": value("lang"), "topic": value("topic") if "topic" in docs.columns else topic_of(F.coalesce(F.col("text"), F.lit("")))}
+
+
 def described(docs: DataFrame) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens`` of each row."""
-    topic = F.coalesce(F.col("topic").cast("string"), F.lit(NONE)) if "topic" in docs.columns else topic_of(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select("doc_id", *[F.coalesce(F.col(c), F.lit(NONE)).alias(c) for c in ("source", "lang")], topic.alias("topic"), tokens_of(F.col("text")).alias("n_tokens"))
+    return docs.select("doc_id", *[c.alias(n) for n, c in cell_of(docs).items()], tokens_of(F.col("text")).alias("n_tokens"))
 
 
 def _targets(cells: DataFrame, column: str, given: dict[str, float], temper: float) -> DataFrame:
@@ -92,6 +97,16 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, *
     return now
 
 
+def residuals(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, *, temper: float = TEMPER) -> DataFrame:
+    """``dimension, residual``: how far the marginals of ``rake``'s result are from their targets at most."""
+    out = None
+    for c in DIMENSIONS:
+        far = F.max(F.abs(F.col("m") - F.col("target")))
+        one = cells.groupBy(c).agg(F.sum("raked").alias("m")).join(_targets(cells, c, (targets or {}).get(c, {}), temper), c).agg(far.alias("residual")).select(F.lit(c).alias("dimension"), "residual")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def rates(cells: DataFrame, budget: float, *, rounds: int = SCALE_ROUNDS) -> DataFrame:
     """``source, lang, topic, weight, probability`` of raked cells, for a share ``budget`` of all tokens."""
     total = float(cells.agg(F.sum("present")).first()[0] or 0)
@@ -122,7 +137,7 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     rows = described(docs)
     cells = common.save(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("present")).where("present > 0"), "cells")
     rate = common.save(rates(rake(cells, targets, temper=temper, rounds=rounds), budget), "rates").select(*[F.col(c).alias(f"__{c}") for c in DIMENSIONS], F.col("probability").alias("__probability"))
-    keyed = docs.select("*", *[c.alias(f"__{n}") for n, c in zip(DIMENSIONS, (F.coalesce("source", F.lit(NONE)), F.coalesce("lang", F.lit(NONE)), F.col("topic") if "topic" in docs.columns else topic_of(F.coalesce(F.col("text"), F.lit("")))), strict=True)])
+    keyed = docs.select("*", *[c.alias(f"__{n}") for n, c in cell_of(docs).items()])
     return keyed.join(rate, [f"__{c}" for c in DIMENSIONS]).where(draw_of(F.col("doc_id")) < F.col("__probability")).where(tokens_of(F.col("text")) > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
