@@ -2,9 +2,12 @@
 
 ``media_archive`` writes rows ``(doc_id, n_bytes, media)`` as ZIP archives, one
 or more a task, and reads them back. A commit lists the archives of tasks that
-succeeded in a manifest, so the leavings of failed or repeated tasks are never
-read. Reading plans partitions as byte ranges of archives; a member belongs to
-the range in which its local header begins. Payloads stream through Arrow in
+succeeded in a manifest of its own, so the leavings of failed or repeated tasks are
+never read, and writes that append don't touch each other. An overwrite deletes the
+manifests before it, then their archives, once its own is written. Reading plans
+partitions as byte ranges of archives, of ``rangeBytes`` or, so that the driver
+plans no more than about ``MOST_RANGES``, longer ones; a member belongs to the range
+in which its local header begins. Payloads stream through Arrow in
 batches of bounded size. A member that can't be read is tried again by its own
 offset, with the archive opened anew; the others aren't read twice. A member
 that fails every time ends the task, and Spark runs it again elsewhere.
@@ -41,7 +44,8 @@ from . import common
 ROW = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEMA = "doc_id long, n_bytes long, media binary"
-ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 128 << 20, 8 << 20, 1 << 20, 4
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES, MOST_RANGES = 128 << 20, 8 << 20, 1 << 20, 4, 200_000
+MANIFEST = "_MANIFEST-"
 #: Cells a side of the grid whose means make the fingerprint.
 GRID = 8
 
@@ -109,6 +113,17 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _manifests(store, root: str) -> list[str]:
+    from pyarrow import fs
+
+    return sorted(i.path for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if i.base_name.startswith(MANIFEST))
+
+
+def _archives(store, manifest: str) -> dict[str, int]:
+    with store.open_input_stream(manifest) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: list[str]
@@ -122,8 +137,8 @@ class ByteRange(InputPartition):
 
 
 class MediaArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, schema=None):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _store(self.path)
@@ -153,8 +168,14 @@ class MediaArchiveWriter(DataSourceArrowWriter):
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
         sizes = {i.base_name: i.size for m in messages if m for i in store.get_file_info([f"{root}/{n}" for n in m.names])}
-        with store.open_output_stream(f"{root}/_MANIFEST") as f:
+        old = _manifests(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/{MANIFEST}{time.time_ns():020d}-{uuid.uuid4().hex}") as f:
             f.write(json.dumps(sizes, sort_keys=True).encode())
+        for manifest in old:
+            gone = _archives(store, manifest)
+            store.delete_file(manifest)
+            for name in gone:
+                store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = _store(self.path)
@@ -168,9 +189,9 @@ class MediaArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         store, root = _store(self.path)
-        with store.open_input_stream(f"{root}/_MANIFEST") as f:
-            sizes = json.loads(f.read())
-        return [ByteRange(name, a, min(a + self.range_bytes, size)) for name, size in sorted(sizes.items()) for a in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
+        sizes = {name: size for m in _manifests(store, root) for name, size in _archives(store, m).items()}
+        step = max(self.range_bytes, -(-sum(sizes.values()) // MOST_RANGES))
+        return [ByteRange(name, a, min(a + step, size)) for name, size in sorted(sizes.items()) for a in range(0, size, step)] or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.name:
@@ -232,7 +253,7 @@ class MediaArchive(DataSource):
         return MediaArchiveReader(self.options["path"], int(self.options.get("rangeBytes", RANGE_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> MediaArchiveWriter:
-        return MediaArchiveWriter(self.options["path"])
+        return MediaArchiveWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -249,14 +270,14 @@ def _media(docs: DataFrame) -> DataFrame:
     return common.columns_of(docs, "doc_id", "text").transform(common.map_arrow, run, SCHEMA)
 
 
-def store_documents(docs: DataFrame, path: str | None = None) -> str:
-    """Write the texts of ``docs(doc_id, text)`` as an archive directory; its URI."""
+def store_documents(docs: DataFrame, path: str | None = None, mode: str = "append") -> str:
+    """Write the texts of ``docs(doc_id, text)`` to an archive directory, after those there or (``overwrite``) instead of them; its URI."""
     spark = docs.sparkSession
     register(spark)
     path = path or common.scratch_path(spark, "media")
     if "://" not in path:
         path = path.replace("file:", "file://", 1) if path.startswith("file:/") else f"file://{path}"
-    _media(docs).write.format("media_archive").mode("append").option("path", path).save()
+    _media(docs).write.format("media_archive").mode(mode).option("path", path).save()
     return path
 
 
