@@ -50,7 +50,7 @@ MIXTURE = (0.5, 0.45, 0.05)
 #: Losses are kept as multiples of 1 / SCALE.
 SCALE = 10**9
 #: Bytes of text and rows of a block, besides a longer text; keys of a bucket, about.
-BLOCK_BYTES, BLOCK_ROWS, BUCKET_KEYS = 16 << 20, 1 << 17, 1_500_000
+BLOCK_BYTES, BLOCK_ROWS, BUCKET_KEYS = 8 << 20, 1 << 17, 1_500_000
 #: Stands before a text's first word.
 START = np.uint64(0x5851F42D4C957F2D)
 #: Bits by which the left neighbour is rotated in a pair's key.
