@@ -52,6 +52,7 @@ def test_language_id(spark, docs, odd, empty):
     rows = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
     assert {i: rows[i]["lang_pred"] for i in (1, 2, 3, 14)} == dict.fromkeys((1, 2, 3, 14), "und")
     assert all(0 <= r["score"] <= 1 for r in rows.values()) and rows[8]["lang_pred"] != "und"
+    assert langid.classify(model, ["½²Ⅷ", "123 ½", "½ le la"])[0][:2] == ["und", "und"]
     assert langid.predict(empty, langid.fit(empty)).count() == 0
     assert langid.predict(odd, langid.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
@@ -66,7 +67,18 @@ def test_top_k(spark):
     q, c = rng.integers(-99, 99, (5, 16)), rng.integers(-99, 99, (5000, 16))
     r, i, s, computed = topk.search_cell(q, np.arange(5), c, np.arange(5000) + 10, 5)
     want = np.sort(q @ c.T, axis=1)[:, ::-1][:, :5].ravel()
-    assert (s.astype(int) == want).all() and computed[0] < 5 * 5000
+    assert (s.astype(int) == want).all() and computed < 5 * 5000
+
+
+def test_top_k_skips(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(7, 32)) * 3
+    rows = [(i, [float(x) for x in centres[i % 7] + rng.normal(size=32)]) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    how = {"pilot": 600, "least_block": 500}
+    same(topk.top_k(df, F.col("vec_id") % 50 == 0, **how).collect(), topk.brute_force(rows, lambda i: i % 50 == 0))
+    pairs, computed = topk.skipped(df, F.col("vec_id") % 50 == 0, **how).first()
+    assert pairs == 60 * 3_000 and 0 < computed < 0.6 * pairs
 
 
 def test_license_scan(docs, odd, empty):
@@ -89,6 +101,45 @@ def test_license_scan(docs, odd, empty):
         assert stats.get(at, 0) == best
 
 
+def test_license_chains():
+    rng = np.random.default_rng(5)
+
+    def brute(pieces):
+        def grow(p):
+            more = [min(q[1] - q[0], q[1] - p[1], q[3] - p[3]) + grow(q) for q in pieces if q[0] - p[1] <= license_scan.GAP and p[1] < q[1] and p[3] < q[3]]
+            return max(more, default=0)
+
+        return max(p[1] - p[0] + grow(p) for p in pieces)
+
+    for _ in range(200):
+        pieces = [(a, a + n, t, t + n) for a, t, n in rng.integers((0, 0, 3), (40, 30, 9), (rng.integers(1, 7), 3)).tolist()]
+        got = license_scan.chains(pieces)
+        assert got[0][2] == brute(pieces)
+        assert all(b <= x or a >= y for i, (a, b, _) in enumerate(got) for x, y, _ in got[:i])
+    machine = license_scan.Automaton(license_scan.BASE, license_scan.TEMPLATES)
+    words = license_scan.TEMPLATES["mit-text"].split()
+    assert {"mit-text", "mit-grant"} <= license_scan.scan(machine, [w.encode() for w in words[:60] + ["zzz"] * 3 + words[62:]])["labels"]
+    assert "mit-text" not in license_scan.scan(machine, [w.encode() for w in words[:40]])["labels"]
+    own = {"a": "w1 w2 w3 w4 w5 w6 w7", "b": "w3 w4 w5 w1 w2 w3", "c": "w2 w3 w4 x w1 w2 w3 w4"}
+    small = license_scan.Automaton({"w1 w2": "p"}, own)
+    for _ in range(100):
+        words = [f"w{i}" if i < 8 else "x" for i in rng.integers(1, 9, rng.integers(1, 30)).tolist()]
+        best = 0.0
+        for text in ["w1 w2".split(), *[t.split() for t in own.values()]]:
+            runs = [(i, i + n, j, j + n) for i in range(len(words)) for j in range(len(text)) for n in range(3, len(text) + 1) if i + n <= len(words) and j + n <= len(text) and words[i : i + n] == text[j : j + n]]
+            runs = [r for r in runs if not any(q != r and q[0] <= r[0] and q[1] >= r[1] for q in runs)]  # those that can't be prolonged in this template
+            best = max(best, brute(runs) / len(text) if runs else 0.0)
+        if ("w1", "w2") in zip(words, words[1:], strict=False):
+            best = 1.0
+        assert abs(license_scan.scan(small, [w.encode() for w in words])["score"] - min(1.0, best)) < 1e-9
+    for k, name in enumerate(machine.names):
+        text = {**{v: p for p, v in license_scan.BASE.items()}, **license_scan.TEMPLATES}[name].split()
+        state = machine.states[0]
+        for w in text[:3]:
+            state = machine.states[state.next[machine.vocabulary[w.encode()]]]
+        assert state.ends[k] == {i + min(3, len(text)) for i in range(len(text)) if text[i : i + 3] == text[:3]}
+
+
 def test_substring_dedup(spark, docs, odd, empty):
     for df in (docs, odd):
         same(substring_dedup.dedup(df).collect(), substring_dedup.brute_force(plain(df)))
@@ -101,14 +152,31 @@ def test_substring_dedup(spark, docs, odd, empty):
     assert kept.where("doc_id is null").first()["text"] == ""
 
 
-def test_fingerprint_index(spark):
-    index = substring_dedup.FingerprintIndex(spark, fan_in=2)
-    a, b = (spark.createDataFrame(x, "fp long, n long") for x in ([(1, 1), (2, 1)], [(2, 1), (3, 2)]))
-    assert index.add(a).where("before is not null").count() == 0
-    assert [tuple(r) for r in index.add(b).where("before is not null").collect()] == [(2, 1, 1)]
+def test_fingerprint_index(spark, tmp_path):
+    folder = f"file://{tmp_path}/tessera"
+    index = substring_dedup.FingerprintIndex(spark, folder, fan_in=2)
+    a, b = (spark.createDataFrame(x, substring_dedup.POSTING) for x in ([(1, 10, 0, 1), (2, 10, 0, 1)], [(2, 11, 0, 1), (3, 12, 0, 2), (4, 12, 0, 1)]))
+    assert index.add(a).count() == 0
+    seen = index.add(b)
+    same(seen.collect(), [(2,), (3,)])
+    same([(r["k"], sorted(r["repeated"])) for r in index.matched(seen).collect()], [(10, [2]), (11, [2]), (12, [3])])
     index.compact()
     assert len(index.runs) == 1
-    same(index.repeated().collect(), [(2, 2), (3, 2)])
+    again = substring_dedup.FingerprintIndex(spark, folder)
+    same(again.postings().collect(), [*a.collect(), *b.collect()])
+    assert again.runs[0][0] == 1
+
+
+def test_substring_dedup_in_two_batches(spark, docs, tmp_path):
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/tessera", fan_in=2)
+    old, new = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0")
+    same(substring_dedup.dedup(old, index=index).collect(), substring_dedup.brute_force(plain(old)))
+    got = substring_dedup.dedup(new, index=substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/tessera"), history=old).collect()
+    every = plain(old) + plain(new)
+    ids = {i for i, _ in plain(new)}
+    want = [r for r in substring_dedup.brute_force(every) if r[0] in ids]
+    # A text that an older one equals goes whole in both views; the rest is judged alike.
+    same(got, want)
 
 
 def test_bpe(docs, odd, empty):
@@ -144,6 +212,16 @@ def test_levenshtein_automaton():
         want = sorted((edit_distance(t, w), i) for i, t in enumerate(terms[:3]) if edit_distance(t, w) <= toxicity.allowance(t)) or ([(0, 3)] if w.startswith("vequ") else [])
         got = [(d, k) for _, _, k, d in toxicity.find(m, [w])[0]]
         assert got == want[:1], w
+    m = toxicity.build(["abcdef*", "\U00010400x\U00010401yz"])
+    assert [[(k, d) for _, _, k, d in toxicity.find(m, [w])[0]] for w in ("abcdefgh", "abcdxfgh", "abcdeg", "abcf", "\U00010400xyz")] == [[(0, 0)], [(0, 1)], [(0, 1)], [], [(1, 1)]]
+
+
+def test_mentions_in_long_lines():
+    far = "x " * 2_000
+    q = toxicity.Quotes(f'"{far}idiot{far}" idiot\n"idiot\n“a” idiot “{far}idiot”')
+    places = [i for i in range(len(q.text)) if q.text.startswith("idiot", i)]
+    assert [q.is_mention(i, i + 5) for i in places] == [True, False, False, False, True]
+    assert toxicity.Quotes("the word " + " " * 500 + "idiot").is_mention(509, 514)
 
 
 def test_toxicity(spark, sf_dir, docs, odd, empty):
@@ -237,6 +315,9 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.sample(empty).columns == empty.columns
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and not any(r["sampled"] for r in rows if r["n_tokens"] == 0)
+    assert {r["dimension"]: r["residual"] < 0.02 for r in mixing.residuals(raked, {"lang": {"en": 0.4}}).collect()} == dict.fromkeys(mixing.DIMENSIONS, True)
+    topics = docs.limit(60).withColumn("topic", F.when(F.col("doc_id") % 2 == 0, F.lit("t")))
+    assert mixing.sample(topics, budget=1.0).count() == mixing.mix(topics, budget=1.0).where("sampled").count() > 50
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -256,6 +337,11 @@ def test_media(spark, docs, odd, empty, tmp_path):
             by_text.setdefault(r["payload_sha256"], set()).add((r["media_sha256"], r["feature"]))
         assert all(len(v) == 1 for v in by_text.values())
     assert media.features(media.read_archives(spark, media.store_documents(empty))).count() == 0
+    path = media.store_documents(docs.limit(5))
+    media.store_documents(docs.limit(7), path)
+    assert media.read_archives(spark, path).count() == 12
+    media.store_documents(docs.limit(3), path, "overwrite")
+    assert media.read_archives(spark, path).count() == 3
 
 
 def test_media_retries_one_member(tmp_path):
@@ -276,9 +362,10 @@ def test_media_retries_one_member(tmp_path):
     assert opened == [False, True, True]
 
 
-@pytest.mark.parametrize("frequent", [1, lm_score.FREQUENT])
-def test_lm_score(spark, docs, odd, empty, monkeypatch, frequent):
-    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+@pytest.mark.parametrize(("block", "keys"), [(lm_score.BLOCK_BYTES, lm_score.BUCKET_KEYS), (5_000, 400)])
+def test_lm_score(spark, docs, odd, empty, monkeypatch, block, keys):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm_score, "BUCKET_KEYS", keys)
     few = docs.where("n_chars < 3000")
     texts, target = [t for _, t in plain(few)], few.where("lang = 'fr'")
 
@@ -302,8 +389,15 @@ def test_lm_score_counts_single_pairs(spark):
     got = lm_score.score(frame("a b"), frame("a b"), frame("b a")).first()
     # Both pairs stand once in the target and never in the background: 0.5 + 0.45 / 2 + 0.05 / 2, and the same without 0.5.
     assert np.allclose([got["target_loss"], got["background_loss"]], [-np.log(0.75), -np.log(0.25)], atol=1e-8)
-    word, pair, _ = lm_score.grams([" ".join(f"v{i}" for i in range(300_000)).encode()])
-    assert len(np.unique(np.concatenate([word, pair]))) == 600_000
+
+
+def test_lm_score_messages():
+    values = np.sort(np.random.default_rng(1).integers(0, 2**64, 5_000, dtype=np.uint64))
+    assert (np.cumsum(lm_score.unpack(lm_score.pack(lm_score._steps(values)), np.uint64), dtype=np.uint64) == values).all()
+    assert len(lm_score.unpack(lm_score.pack(values[:0]), np.uint64)) == 0
+    words, got = lm_score._totals([values[:3], values[1:3], values[:0]], [np.array([1, 2, 3]), np.array([5, 1]), np.array([], dtype=int)], [0, 1, 1], [1, 0, 0])
+    assert words == 3
+    assert [[x.tolist() for x in g] for g in got] == [[[1, 2], [5, 1], [2, 3]], [[0, 1], [5, 1], [2, 3]], [[], [], []]]
 
 
 def test_membership_filter_keeps_all_members(spark):
@@ -336,7 +430,7 @@ def test_pipeline(spark, sf_dir):
         before, step = step, common.save(stage(spark, step, sf_dir), name)
         assert step.columns == docs.columns and step.count() <= before.count()
         if name == "near_dedup":
-            keep = {i for i, _, _, kept in near_dedup.brute_force(plain(before)) if kept}
+            keep = {i for i, _, _, kept in near_dedup.brute_force(plain(before), 5, 80) if kept}
             assert {r["doc_id"] for r in step.select("doc_id").collect()} == keep
         if name == "substring_dedup":
             same([(i, hashlib.sha256(b" ".join((x or "").encode().split())).hexdigest()) for i, x in plain(step)], [(r[0], r[3]) for r in substring_dedup.brute_force(plain(before))])
