@@ -16,6 +16,11 @@ def lexical(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit("([\\u4e00-\\u9fff]+|[a-zA-Z0-9]+)"), F.lit(1))
 
 
+def lexical_count(text: str | Column) -> Column:
+    """The number of ``lexical`` tokens."""
+    return F.regexp_count(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit("[\\u4e00-\\u9fff]+|[a-zA-Z0-9]+"))
+
+
 def words(text: str | Column) -> Column:
     """Runs of word characters of any script, lower-cased."""
     return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit("(?U)(\\b\\w+\\b)"), F.lit(1))

@@ -100,6 +100,15 @@ def hierarchical(vectors: DataFrame, k: int, linkage: str = "complete", most: in
     return vectors.sparkSession.createDataFrame([(r["vec_id"], int(c)) for r, c in zip(rows, got, strict=True)], "vec_id long, cluster int")
 
 
+def hierarchical_groups(vectors: DataFrame, by: str, k: int, linkage: str = "average") -> DataFrame:
+    """``vec_id, by, cluster``: all vectors, whose groups (a few) are joined bottom-up by the cosine of their means."""
+    unit = vectors.select("vec_id", by, F.posexplode("embedding").alias("i", "x"))
+    means = unit.groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("embedding"))
+    groups = means.select(F.col(by).cast("long").alias("vec_id"), "embedding")
+    named = hierarchical(groups, k, linkage).select(F.col("vec_id").alias("_g"), "cluster")
+    return vectors.select("vec_id", by).join(F.broadcast(named), F.col(by).cast("long") == F.col("_g")).drop("_g")
+
+
 def silhouette_by_label(vectors: DataFrame, label: str = "label") -> DataFrame:
     """``label, n, silhouette``: the mean over each group by cosine distance, of all vectors against all groups.
 

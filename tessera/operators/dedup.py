@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import index
 
-BANDS = 4
+#: Blocks of a fingerprint. Two at distance d agree in all but d blocks at least, so each choice of the others makes a key.
+BLOCKS = 5
 
 
 def exact(docs: DataFrame) -> DataFrame:
@@ -28,19 +29,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return index.tokens(docs).select("doc_id", text.simhash(F.col("w")).alias("h"))
 
 
-def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """``a, b, distance``: pairs within a Hamming distance below ``BANDS``, found by an equal 16-bit band.
+def near_pairs(prints: DataFrame, distance: int = 3, blocks: int = BLOCKS) -> DataFrame:
+    """``a, b, distance``: pairs within a Hamming distance below ``blocks``, found by equal blocks.
 
-    Equal fingerprints are joined once, through the smallest id that has each.
+    With 5 blocks and distance 3 there are 10 keys of 25 bits or more for each
+    fingerprint, so a key's rows stay few up to hundreds of millions of them; more
+    blocks make longer keys, and more of them. Equal fingerprints are joined once,
+    through the smallest id that has each.
     """
-    if distance >= BANDS:
-        raise ValueError(f"bands find distances below {BANDS}")
+    from itertools import combinations
+
+    if distance >= blocks:
+        raise ValueError(f"{blocks} blocks find distances below {blocks}")
     one = prints.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftright("h", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("v")) for i in range(BANDS)])
-    rows = one.select("doc_id", "h", F.explode(bands).alias("p")).select("doc_id", "h", "p.band", "p.v")
-    right = rows.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), "band", "v")
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    chosen = [sum(masks[i] for i in c) for c in combinations(range(blocks), blocks - distance)]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    keys = F.array(*[F.struct(F.lit(i).alias("table"), F.col("h").bitwiseAND(F.lit(signed(m)).cast("long")).alias("v")) for i, m in enumerate(chosen)])
+    rows = one.select("doc_id", "h", F.explode(keys).alias("p")).select("doc_id", "h", "p.table", "p.v")
+    right = rows.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), "table", "v")
     d = text.hamming(F.col("h"), F.col("hb"))
-    return rows.withColumnRenamed("doc_id", "a").join(right, ["band", "v"]).where((F.col("a") < F.col("b")) & (d <= distance)).select("a", "b", d.alias("distance")).distinct()
+    return rows.withColumnRenamed("doc_id", "a").join(right, ["table", "v"]).where((F.col("a") < F.col("b")) & (d <= distance)).select("a", "b", d.alias("distance")).distinct()
 
 
 def near_rows(prints: DataFrame, distance: int = 3) -> DataFrame:

@@ -231,6 +231,12 @@ def keyword_lists(docs: DataFrame, k: int = 10) -> DataFrame:
     return tf_keywords(docs, k).groupBy("doc_id").agg(F.collect_list("term").alias("k"))
 
 
+def frequent_lists(docs: DataFrame, least: int) -> DataFrame:
+    """``doc_id, k``: an array of the words that a document holds ``least`` times or more."""
+    post = index.postings(docs).where((F.col("tf") >= least) & (F.length("term") > 1) & ~F.col("term").isin(text.STOPWORDS))
+    return post.groupBy("doc_id").agg(F.collect_list("term").alias("k"))
+
+
 def detail(docs: DataFrame, doc_id: int, terms: list[str], k: int = 5) -> DataFrame:
     """One document's attributes, number of distinct terms, keywords and matched query terms."""
     one = docs.where(F.col("doc_id") == doc_id)

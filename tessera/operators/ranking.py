@@ -18,7 +18,8 @@ def _n(docs: DataFrame) -> Column:
 
 
 def _avgdl(docs: DataFrame) -> Column:
-    return index.doc_stats(docs).agg(F.avg("dl")).scalar()
+    """Tokens are counted for it, not taken out of the text."""
+    return docs.agg(F.avg(index.text.lexical_count("text"))).scalar()
 
 
 def _query(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -102,21 +103,66 @@ def bm25_explain(docs: DataFrame, terms: list[str], doc_id: int) -> DataFrame:
     return bm25_parts(docs, terms).where(F.col("doc_id") == doc_id).select("term", "tf", "df", F.round("idf", 4).alias("idf"), F.round("part", 4).alias("score"))
 
 
-def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, rank, doc_id, score`` for many queries ``query_id, text`` in one plan."""
+def bm25_batch(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
+    """``query_id, rank, doc_id, score`` for many queries ``query_id, text`` in one plan.
+
+    Queries are broadcast in blocks of ``block`` with their terms' weights. A task
+    scores its documents against a block as a product of two matrices and keeps k a
+    query, so a frequent term gives no row for each document and no hot key.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = docs.sparkSession
     q = queries.select("query_id", F.explode(index.text.lexical("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocabulary = q.select("term").distinct()
-    hits = index.postings(docs).join(vocabulary, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = index.tokens(docs).select(F.explode(F.array_distinct("w")).alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((_n(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = q.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
-    long = hits.join(index.doc_stats(docs).select("doc_id", "dl"), "doc_id")
-    gain = F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / _avgdl(docs)))
-    scores = long.withColumn("gain", gain).join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("gain")), DIGITS).alias("score"))
-    ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    avgdl = float(docs.select(_avgdl(docs).alias("a")).limit(1).first()["a"] or 1.0) if not docs.isEmpty() else 1.0
+    ids = [r[0] for r in q.select("query_id").distinct().orderBy("query_id").collect()]  # the queries' ids
+    best = None
+    for at in range(0, max(len(ids), 1), block):
+        own = ids[at : at + block]
+        rows = weights.where(F.col("query_id").between(own[0], own[-1]) if own else F.lit(False)).toArrow()  # terms of `block` queries
+        terms, col = np.unique(np.asarray(rows.column("term").to_pylist(), dtype=object).astype(str), return_inverse=True)
+        matrix = np.zeros((len(own), len(terms)))
+        place = {i: n for n, i in enumerate(own)}
+        matrix[[place[i] for i in rows.column("query_id").to_pylist()], col] = rows.column("w").to_numpy()
+        shared = spark.sparkContext.broadcast((own, {t: n for n, t in enumerate(terms.tolist())}, matrix))
+
+        def run(batches, shared=shared):
+            own, known, matrix = shared.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows if own else 0, 512):
+                    part = batch.slice(lo, 512)
+                    tf = np.zeros((len(known), part.num_rows))
+                    dl = np.zeros(part.num_rows)
+                    for j, w in enumerate(part.column(1).to_pylist()):
+                        dl[j] = len(w)
+                        for t, n in Counter(w).items():
+                            if t in known:
+                                tf[known[t], j] = n
+                    s = np.round(matrix @ _gain(tf, dl, avgdl), DIGITS)
+                    some = matrix.astype(bool) @ (tf > 0)
+                    s[~some] = -np.inf
+                    take = min(k, part.num_rows)
+                    # All that tie with the k-th stay; the window breaks ties by id.
+                    kth = -np.partition(-s, take - 1, axis=1)[:, take - 1]
+                    i, j = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+                    doc_ids = np.asarray(part.column(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([own[x] for x in i.tolist()], pa.int64()), pa.array(doc_ids[j]), pa.array(s[i, j])], names=["query_id", "doc_id", "score"])
+
+        found = index.tokens(docs.where("doc_id is not null")).mapInArrow(run, "query_id long, doc_id long, score double")
+        best = found if best is None else best.unionByName(found)
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     return ranked.where(F.col("rank") <= k)
 
 
+def _gain(tf, dl, avgdl: float):
+    """BM25's part of the term frequency, for terms by documents."""
+    return tf * 2.5 / (tf + (1.5 * (0.25 + 0.75 * dl / avgdl))[None, :])
+
+
 def term_bounds(docs: DataFrame, terms: list[str]) -> DataFrame:
     """``term, df, max_tf, upper``: the most that a term can add to a BM25 score."""
     parts = bm25_parts(docs, terms)

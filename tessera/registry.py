@@ -293,7 +293,7 @@ _docs("query_focused", lambda d: nlp.query_sentences(d, TERMS), _with("select do
 _docs("tf_keywords", nlp.tf_keywords, _with("select term, doc_id, tf from (select *, row_number() over (partition by doc_id order by tf desc, term) r from p where length(term) > 1 and term not in (" + ", ".join(f"'{s}'" for s in text.STOPWORDS) + ")) where r <= 10"))
 _docs("rake", nlp.rake, None)
 _docs("kwic_fixed", lambda d: d.select("doc_id", F.explode(text.kwic("text", "license", 20)).alias("k")).select("doc_id", "k.position", "k.before", "k.after"), "select doc_id, \"position\"::int \"position\", substr(text, greatest(\"position\" - 20, 0) + 1, least(\"position\", 20)) \"before\", substr(text, \"position\" + 8, 20) \"after\" from (select doc_id, text, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x)))::bigint + (i - 1) * 7)) \"position\" from (select doc_id, text, string_split(lower(text), 'license') parts from documents where contains(lower(text), 'license')))")
-_docs("snippet", lambda d: d.select("doc_id", text.best_window("text", TERMS).alias("snippet")), None)
+_docs("snippet", lambda d: d.select("doc_id", text.best_window("text", TERMS).alias("snippet")), "select d.doc_id, snippet from documents d left join (select doc_id, arg_min(s[1:180], -10000000 * (contains(lower(s), 'the')::bigint + contains(lower(s), 'and')::bigint + contains(lower(s), 'of')::bigint) + i) snippet from (select doc_id, unnest(s) s, generate_subscripts(s, 1) i from (select doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?。！？]+'), lambda x: trim(x)), lambda x: x <> '') s from documents)) group by 1) using (doc_id)")
 _docs("highlight", lambda d: d.select("doc_id", F.md5(text.highlight("text", ["license", "the"]).cast("binary")).alias("marked")), "select doc_id, md5(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(license|the)', '<mark>\\1</mark>', 'g')) marked from documents")
 _docs("textrank", nlp.textrank)
 _ENTITIES_SQL = "regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"

@@ -56,7 +56,7 @@ def _merge(spark: SparkSession, a: DataFrame, path: str) -> None:
 
 _files("merge_jsonl", _merge, lambda s, p: articles.read_jsonl(s, p, schema=_JSON).select("article_id", "title", "category"), "select doc_id::varchar article_id, case when doc_id < 50 then source end title, case when doc_id >= 50 then lang end category from documents where text <> ''")
 _docs("content_hash", lambda d: d.select("doc_id", articles.content_hash(F.col("source"), F.col("text")).alias("hash")), "select doc_id, md5(concat_ws(chr(10), source, text)) hash from documents")
-_docs("dedup_key", lambda d: d.select("doc_id", articles.dedup_hash(F.col("source"), F.substring("text", 1, 30)).alias("hash")), "select doc_id, md5(lower(trim(coalesce(source, ''))) || '||' || lower(trim(coalesce(text[1:30], '')))) hash from documents")
+_docs("dedup_key", lambda d: d.select("doc_id", articles.dedup_hash(F.col("source"), F.col("text")).alias("hash")), "select doc_id, md5(lower(trim(coalesce(source, ''))) || '||' || lower(trim(coalesce(text, '')))) hash from documents")
 _docs("table_scan", lambda d: articles.scan(d.withColumnRenamed("lang", "category"), source="src7", category="en").select("doc_id", "n_chars"), "select doc_id, n_chars from documents where source = 'src7' and lang = 'en'")
 _docs("table_newest", lambda d: articles.scan(d, source="src2", order="doc_id", limit=10).select("doc_id"), "select doc_id from documents where source = 'src2' order by doc_id desc limit 10")
 _docs("point_lookup", lambda d: articles.lookup(d, [3, 5, 8], "doc_id").select("doc_id", "source"), "select doc_id, source from documents where doc_id in (3, 5, 8)")
@@ -127,14 +127,15 @@ _QUERIES["f_beta_series"] = lambda spark, s: metrics.f_beta_series(*_evaluation(
 _SQL["f_beta_series"] = f"with {_RUN}, {_QRELS}, rr as (select query_id, count(*) filter (rel > 0) r from qrels group by 1), x as (select k, run.query_id, sum((coalesce(rel, 0) > 0)::int) h, count(*) n from (select unnest([5, 10, 20])::int k) ks join run on rank <= k left join qrels using (query_id, doc_id) group by all), y as (select k, h / n pr, coalesce(h / nullif(r, 0), 0) re from x join rr using (query_id)) select k, round(avg(pr), 6) \"precision\", round(avg(re), 6) recall, round(avg(coalesce(1.25::double * pr * re / nullif(0.25::double * pr + re, 0), 0)), 6) f_half, round(avg(coalesce(5.0::double * pr * re / nullif(4.0::double * pr + re, 0), 0)), 6) f_two from y group by 1"
 _QUERIES["query_set_keys"] = lambda spark, s: metrics.query_sets(_read(spark, s, "benchmark").select(F.concat(F.lit("set"), F.pmod("item_id", F.lit(3)).cast("string")).alias("name"), F.col("item_id").alias("query_id"), "text"), "v1")
 _SQL["query_set_keys"] = "select 'set' || (item_id % 3) \"name\", count(*) queries, sha256('v1' || chr(10) || string_agg(item_id::varchar || '=' || md5(text), chr(10) order by item_id)) \"key\" from benchmark group by 1"
-_docs("keyword_eval", lambda d: metrics.keyword_eval(nlp.keyword_lists(d, 10), nlp.keyword_lists(d.withColumn("text", F.substring("text", 1, 400)), 10)), _with("select f.doc_id, round(b / nullif(len(f.k), 0)::double, 6) \"precision\", round(b / nullif(len(g.k), 0)::double, 6) recall, round(coalesce(2 * (b / len(f.k)::double) * (b / len(g.k)::double) / nullif(b / len(f.k)::double + b / len(g.k)::double, 0), 0), 6) f1 from (select f.*, len(list_intersect(f.k, g.k)) b from kf f join kg g using (doc_id)) f join kg g using (doc_id)", *[f"{n} as (select doc_id, list(term) k from (select *, row_number() over (partition by doc_id order by tf desc, term) r from (select doc_id, term, count(*) tf from (select doc_id, unnest(regexp_extract_all(lower(coalesce({c}, '')), '[\\x{{4e00}}-\\x{{9fff}}]+|[a-z0-9]+')) term from documents) group by all) where length(term) > 1 and term not in ({', '.join(repr(s) for s in text.STOPWORDS)})) where r <= 10 group by 1)" for n, c in (("kf", "text"), ("kg", "text[1:400]"))]))
+_KEEP = f"length(term) > 1 and term not in ({', '.join(repr(s) for s in text.STOPWORDS)})"
+_docs("keyword_eval", lambda d: metrics.keyword_eval(nlp.keyword_lists(d, 10), nlp.frequent_lists(d, 3)), _with("select doc_id, round(b / len(f)::double, 6) \"precision\", round(b / len(g)::double, 6) recall, round(coalesce(2 * (b / len(f)::double) * (b / len(g)::double) / nullif(b / len(f)::double + b / len(g)::double, 0), 0), 6) f1 from (select doc_id, kf.k f, kg.k g, len(list_intersect(kf.k, kg.k)) b from kf join kg using (doc_id))", f"kf as (select doc_id, list(term) k from (select *, row_number() over (partition by doc_id order by tf desc, term) r from p where {_KEEP}) where r <= 10 group by 1)", f"kg as (select doc_id, list(term) k from p where tf >= 3 and {_KEEP} group by 1)"))
 _docs("evaluation_key", lambda d: d.sparkSession.createDataFrame([(metrics.cache_key({"model": "bm25", "k": 10}, "d1", "q1"),)], "key string"), f"select '{hashlib.sha256(b'd1|q1|{\"k\": 10, \"model\": \"bm25\"}').hexdigest()}' \"key\"")
 
 # documents in detail
 
 _docs("document_detail", lambda d: nlp.detail(d, SEED_DOC, TERMS), _with(f"select doc_id, lang, source, n_chars, (select count(*)::int from p where doc_id = {SEED_DOC}) distinct_terms, (select string_agg(term, ',' order by tf desc, term) from (select * from p where doc_id = {SEED_DOC} and length(term) > 1 and term not in ({', '.join(repr(s) for s in text.STOPWORDS)}) order by tf desc, term limit 5)) keywords, (select string_agg(term, ',' order by term) from p where doc_id = {SEED_DOC} and term in ('the', 'and', 'of')) matched from documents where doc_id = {SEED_DOC}"))
 _docs("multi_document_summary", lambda d: d.sparkSession.createDataFrame(nlp.multi_document_summary(d).astype({"doc_id": "int64", "i": "int32"}), "doc_id long, i int, sentence string, score double"))
-_docs("greedy_generation", lambda d: nlp.generate_greedy(d, "the", 8))
+_docs("greedy_generation", lambda d: nlp.generate_greedy(d, "the", 8), _with("select pos, word from g", "bn as (select a, b from (select a, b, row_number() over (partition by a order by n desc, b) r from (select x.term a, y.term b, count(*) n from tok x join tok y on x.doc_id = y.doc_id and y.pos = x.pos + 1 group by all)) where r = 1)", "g(pos, word) as (select 0, 'the' union all select pos + 1, b from g join bn on word = a where pos < 7)").replace("with w as", "with recursive w as", 1))
 _EDGES = [(1, 2, 1, "eats", "cat", "nsubj"), (1, 0, 2, "", "eats", "root"), (1, 2, 4, "eats", "fish", "dobj"), (1, 4, 3, "fish", "the", "det"), (2, 0, 1, "", "sleeps", "root"), (2, 1, 2, "sleeps", "dog", "nsubj")]
 _EDGE_SCHEMA = "sent_id long, head int, dep int, head_word string, dep_word string, relation string"
 _QUERIES["svo_triples"] = lambda spark, s: nlp.triples(spark.createDataFrame(_EDGES, _EDGE_SCHEMA))
@@ -146,7 +147,7 @@ _SQL["analysis_graph"] = _with("select 'query:the and of' source, 'model:bm25' t
 
 # clusters and recommendation
 
-_on("hierarchical_clusters", "embeddings", lambda v: cluster.hierarchical(v.where("vec_id < 60"), 5))
+_on("hierarchical_clusters", "embeddings", lambda v: cluster.hierarchical_groups(v, "label", 5))
 _on("silhouette", "embeddings", lambda v: cluster.silhouette_by_label(v))
 _SQL["silhouette"] = "with u as (select vec_id, label, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) e from embeddings), m as (select label, count(*) n, list(s order by i) s from (select label, i, sum(x) s, count(*) n from (select label, unnest(e) x, generate_subscripts(e, 1) i from u) group by all) group by label), mm as (select m.label, c.n, m.s from m join (select label, count(*) n from u group by 1) c using (label)), d as (select vec_id, u.label own, mm.label other, case when u.label = mm.label then (case when mm.n > 1 then (mm.n - list_dot_product(e, s)) / (mm.n - 1) else 0 end) else 1 - list_dot_product(e, s) / mm.n end d, mm.n from u, mm), ab as (select vec_id, any_value(own) lab, min(d) filter (own <> other) b, min(d) filter (own = other) a, min(n) filter (own = other) n from d group by 1) select lab::int label, count(*) n, round(avg(case when n = 1 then 0 else (b - a) / greatest(a, b) end), 6) silhouette from ab group by 1"
 _docs("term_clusters", lambda d: cluster.term_clusters(index.term_stats(index.postings(d)), 40))
@@ -196,8 +197,8 @@ def _sql_over_documents(statement: str):
     return run
 
 
-_QUERIES["udtf_ngrams"] = _sql_over_documents("select d.doc_id, g.gram, count(*) n from tessera_docs d, lateral tessera_ngrams(d.text, 2) g where d.source = 'src1' group by all")
-_SQL["udtf_ngrams"] = _with("select a.doc_id, a.term || ' ' || b.term gram, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.doc_id in (select doc_id from documents where source = 'src1') group by all")
+_QUERIES["udtf_ngrams"] = _sql_over_documents("select d.doc_id, g.gram, count(*) n from tessera_docs d, lateral tessera_ngrams(d.text, 2) g group by all")
+_SQL["udtf_ngrams"] = _with("select a.doc_id, a.term || ' ' || b.term gram, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by all")
 _QUERIES["udaf_geomean"] = _sql_over_documents("select lang, tessera_geomean(n_chars) gm from tessera_docs group by lang")
 _SQL["udaf_geomean"] = "select lang, round(exp(avg(ln(n_chars))), 4) gm from documents group by 1"
 _QUERIES["sql_udf_tokens"] = _sql_over_documents("select lang, sum(tessera_tokens(text)) tokens from tessera_docs group by lang")
