@@ -24,8 +24,9 @@ Components are found by minimum labels with pointer jumping, round by round in
 the shared folder; nothing of the documents' size reaches the driver.
 
 Defined results: documents without words have set size 0 and stand alone; rows
-with a null id stand alone (component null, kept); repeated ids belong to one
-component; other columns are ignored.
+with a null id stand alone (component null, kept); rows that share an id are one
+document of the graph, whatever their texts: what one of them is linked to, all are;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -258,8 +259,28 @@ def _cell_links(cells: DataFrame, percent: int) -> DataFrame:
     return cells.select("group").transform(common.map_arrow, run, "a long, b long").distinct()
 
 
+#: Node ids from here on stand for further sets of an id that represents several.
+STAND_IN = 1 << 62
+
+
+def _nodes(reps: DataFrame, usable: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``reps`` with a node id ``rep`` of its own for each set, and links between the sets of one id (None: no id has several)."""
+    sets = ("s1", "s2", "n_shingles")
+    ids = usable.groupBy("doc_id").agg(F.min(F.struct(*sets)).alias("lo"), F.max(F.struct(*sets)).alias("hi")).where("lo <> hi").select("doc_id")
+    ids = common.save(ids, "ids")
+    if ids.isEmpty():
+        return reps.withColumn("rep", F.col("first")), None
+    clash = reps.groupBy("first").agg(F.min(F.struct(*sets)).alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1").select("first", "lo")
+    stand_in = F.lit(STAND_IN) + F.pmod(F.xxhash64(*sets), F.lit(STAND_IN))
+    nodes = reps.join(clash.hint("merge"), "first", "left").withColumn("rep", F.when(F.col("lo").isNull() | (F.col("lo") == F.struct(*sets)), F.col("first")).otherwise(stand_in)).drop("lo")
+    nodes = common.save(nodes, "nodes")
+    # An id of several sets joins their nodes and, as its own row's label is asked for, itself.
+    own = usable.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", *sets).distinct().join(nodes.select(*sets, "rep"), [*sets])
+    return nodes, own.where("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``rep, s1, values`` of the wanted representatives ``rep, s1``."""
+    """``rep, s1, values`` of the wanted nodes ``rep, first, s1``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,7 +291,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 keep = [i for i, r in enumerate(right) if r]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["rep", "values"])
 
-    rows = common.with_members(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null"), "rep", wanted).join(wanted.hint("merge"), "rep")
+    rows = common.with_members(docs.select(F.col("doc_id").cast("long").alias("first"), "text").where("first is not null"), "first", wanted).join(wanted.hint("merge"), "first")
     return rows.select("rep", "s1", "text").transform(common.map_arrow, run, "rep long, values binary").dropDuplicates(["rep"])
 
 
@@ -331,15 +352,15 @@ def find(docs: DataFrame, *, shingle: int = 3, percent: int = 85, leaf: int = LE
     trees = trees_for(percent)
     facts = common.save(_facts(docs, shingle, trees), "facts")
     usable = facts.where("doc_id is not null and n_shingles > 0")
-    reps = common.save(usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens")), "reps")
+    reps, twins = _nodes(common.save(usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first"), F.min("tokens").alias("tokens")), "reps"), usable)
     members = _leaves(reps.select("rep", "tokens", "n_shingles"), leaf, trees, block)
     members = common.save(members.join(reps.select("rep", "tokens"), "rep"), "members")
     grouped = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rep", "tokens"))).alias("group"))
     first = common.save(_leaders(grouped).where("a <> b"), "pairs")
     ends = first.select(F.col("a").alias("rep")).unionByName(first.select(F.col("b").alias("rep"))).distinct()
-    sets = common.save(_sets_of(docs, reps.select("rep", "s1").join(ends, "rep", "left_semi"), shingle), "sets")
-    links = common.save(_confirm(first, sets, percent), "confirmed")
-    # Rows that share an id are one document of the graph, whatever their sets.
+    sets = common.save(_sets_of(docs, reps.select("rep", "first", "s1").join(ends, "rep", "left_semi"), shingle), "sets")
+    links = _confirm(first, sets, percent)
+    links = common.save(links if twins is None else links.unionByName(twins), "confirmed")
     found = components(links)
     label = members.join(found, "rep", "left").select("node", "cell", "rep", "tokens", F.coalesce("component", "rep").alias("component"))
     several = label.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node")
@@ -348,7 +369,7 @@ def find(docs: DataFrame, *, shingle: int = 3, percent: int = 85, leaf: int = LE
     cells = common.save(label.where("cell").select("node", "rep", "component").join(several.hint("merge"), "node"), "cells")
     # The second round's documents whose sets the first one had no need of.
     others = common.save(second.select(F.col("a").alias("rep")).unionByName(second.select(F.col("b").alias("rep"))).unionByName(cells.select("rep")).distinct().join(ends, "rep", "left_anti"), "others")
-    more_sets = common.save(_sets_of(docs, reps.select("rep", "s1").join(others, "rep", "left_semi"), shingle), "sets") if not others.isEmpty() else None
+    more_sets = common.save(_sets_of(docs, reps.select("rep", "first", "s1").join(others, "rep", "left_semi"), shingle), "sets") if not others.isEmpty() else None
     every = sets if more_sets is None else sets.unionByName(more_sets)
     more = _confirm(second, every, percent)
     if not cells.isEmpty():

@@ -30,10 +30,11 @@ with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) q from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+asked as (select distinct vec_id, q from v where vec_id % 50 = 0),
 p as (
-  select a.vec_id query_id, b.vec_id, list_dot_product(a.q::double[], b.q::double[])::bigint score
-  from v a join v b on a.vec_id % 50 = 0 and b.vec_id <> a.vec_id and len(a.q) = len(b.q))
-select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int rank, vec_id, score
+  select a.vec_id query_id, a.q, b.vec_id, list_dot_product(a.q::double[], b.q::double[])::bigint score
+  from asked a join v b on b.vec_id <> a.vec_id and len(a.q) = len(b.q))
+select query_id, row_number() over (partition by query_id, q order by score desc, vec_id)::int rank, vec_id, score
 from p qualify rank <= 5
 """
 

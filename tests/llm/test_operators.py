@@ -70,6 +70,20 @@ def test_top_k(spark):
     assert (s.astype(int) == want).all() and computed < 5 * 5000
 
 
+def test_top_k_of_repeated_rows(spark):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    rows += [rows[50], rows[50], (0, rows[3][1]), rows[7], rows[7]]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    c = duckdb.connect()
+    c.sql("create table embeddings (vec_id bigint, embedding double[])")
+    c.executemany("insert into embeddings values (?, ?)", [list(r) for r in rows])
+    same(got.select("query_id", "rank", "vec_id", "score").collect(), c.sql(f"select query_id, rank, vec_id, score from ({llm.OP2_SQL})").fetchall())
+    assert got.count() == 15  # id 0 has two vectors, id 50 one
+
+
 def test_top_k_skips(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(7, 32)) * 3
@@ -245,6 +259,13 @@ def test_near_dedup(docs, odd, empty):
     assert near_dedup.clean(odd).columns == odd.columns
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a), (5, c), (5, b + " tail"), (5, c + " end"), (6, "q r s t"), (7, "q r s t"), (7, "other words here now"), (8, "other words here now"), (9, c + " end"), (3, c)]
+    got = near_dedup.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    same(got, near_dedup.brute_force(rows))
+
+
 def test_near_dedup_large_groups(spark):
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(200)]
