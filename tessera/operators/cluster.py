@@ -162,3 +162,19 @@ def kmeans_report(vectors: DataFrame, k: int = 5) -> DataFrame:
     means = unit.select("cluster", F.posexplode("e").alias("i", "v")).groupBy("cluster", "i").agg(F.avg("v").alias("m"))
     centres = means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("c"))
     return unit.join(F.broadcast(centres), "cluster").select("vec_id", "cluster", F.round(dot(F.col("e"), F.col("c")) / F.sqrt(dot(F.col("c"), F.col("c"))), 6).alias("similarity"))
+
+
+def assign_topics(vectors: DataFrame, topics: DataFrame, least: float = 0.2) -> DataFrame:
+    """``vec_id, topic, similarity``: the nearest of a few topic vectors ``topic, embedding`` by cosine; -1 below ``least``."""
+    x, t = F.col("embedding").cast("array<double>"), F.col("e").cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    pairs = vectors.select("vec_id", "embedding").join(F.broadcast(topics.select("topic", F.col("embedding").alias("e"))))  # topics are few
+    s = F.round(dot(x, t) / F.sqrt(dot(x, x) * dot(t, t)), 6)
+    best = pairs.withColumn("s", s).groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("topic")).alias("t"))).alias("b"))
+    return best.select("vec_id", F.when(F.col("b.s") >= least, (-F.col("b.t")).cast("int")).otherwise(F.lit(-1)).alias("topic"), F.col("b.s").alias("similarity"))
+
+
+def group_means(vectors: DataFrame, label: str = "label") -> DataFrame:
+    """``topic, embedding``: the mean vector of each label."""
+    parts = vectors.select(F.col(label).alias("topic"), F.posexplode("embedding").alias("i", "x")).groupBy("topic", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return parts.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("embedding"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -494,3 +495,20 @@ def analysis_graph(found: DataFrame, query: str) -> DataFrame:
     models = found.select("model").distinct().select(F.lit(f"query:{query}").alias("source"), F.concat(F.lit("model:"), "model").alias("target"), F.lit("asked").alias("kind"), F.lit(None).cast("double").alias("weight"))
     docs = found.select(F.concat(F.lit("model:"), "model").alias("source"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("target"), F.lit("found").alias("kind"), F.col("score").alias("weight"))
     return models.unionByName(docs)
+
+
+@dataclass(frozen=True)
+class Ranker:
+    """A model with its parameters, to be called like any entry of ``MODELS``."""
+
+    model: str = "bm25"
+    parameters: tuple[tuple[str, float], ...] = ()
+
+    @classmethod
+    def of(cls, model: str, **parameters: float) -> Ranker:
+        if model not in MODELS:
+            raise ValueError(f"no model {model!r}")
+        return cls(model, tuple(sorted(parameters.items())))
+
+    def __call__(self, docs: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
+        return MODELS[self.model](docs, terms, k, **dict(self.parameters))

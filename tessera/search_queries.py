@@ -122,3 +122,4 @@ _docs("ngram_stats", nlp.model_stats, _with("select (select sum(tf)::bigint from
 _docs("ngram_log_probability", nlp.log_probability, _with("select a, b, round(ln((n + 1) / (c + (select count(*) from t)::double)), 6) logp from (select *, sum(n) over (partition by a)::double c from (select a.term a, b.term b, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by all))"))
 for _method in keywords.METHODS:
     _docs(f"keywords_{_method}", lambda d, m=_method: keywords.extract(d, m))
+_docs("ranker_configured", lambda d: ranking.Ranker.of("bm25", k1=1.2, b=0.5)(d, TERMS), _with(_top("select doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2::double / (tf + 1.2::double * (0.5 + 0.5 * dl / avgdl)))) score from p join q using (term) join t using (term) join s using (doc_id), n group by doc_id"), _q(TERMS)))

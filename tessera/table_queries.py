@@ -203,3 +203,24 @@ _QUERIES["udaf_geomean"] = _sql_over_documents("select lang, tessera_geomean(n_c
 _SQL["udaf_geomean"] = "select lang, round(exp(avg(ln(n_chars))), 4) gm from documents group by 1"
 _QUERIES["sql_udf_tokens"] = _sql_over_documents("select lang, sum(tessera_tokens(text)) tokens from tessera_docs group by lang")
 _SQL["sql_udf_tokens"] = _with("select lang, sum(len(w))::bigint tokens from documents join w using (doc_id) group by 1")
+
+# hybrid recommendation and topics
+
+_PARTS = "ratings as (select o_custkey user_id, l_partkey item_id, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity) rating from orders join lineitem on o_orderkey = l_orderkey group by all), pop as (select item_id, count(distinct user_id) / (select count(distinct user_id) from ratings) p from ratings group by 1), con as (select item_id, round(avg(rating) / 50, 6) s from ratings group by 1)"
+
+
+def _content_of(r: DataFrame) -> DataFrame:
+    return r.groupBy("item_id").agg(F.round(F.avg("rating") / 50, 6).alias("score"))
+
+
+def _popular(r: DataFrame) -> DataFrame:
+    return recommend.popularity(r).select("item_id", F.col("popularity").alias("score"))
+
+
+_QUERIES["hybrid_cascade"] = lambda spark, s: (lambda r: recommend.cascade(_content_of(r), recommend.by_items(r, 1, 50), _popular(r)))(_ratings(spark, s))
+_SQL["hybrid_cascade"] = f"with cf as ({_SQL['cf_item'].replace('limit 10', 'limit 50')}), {_PARTS} select item_id, round(case when coalesce(score, 0) > 0 then 0.7::double * score + 0.2::double * s + 0.1::double * round(p, 6) else 0.8::double * s + 0.2::double * round(p, 6) end, 6) score from con join pop using (item_id) left join cf using (item_id) order by 2 desc, 1 limit 10"
+_QUERIES["hybrid_switching"] = lambda spark, s: (lambda r: recommend.switching(r, -5, _content_of(r), _popular(r)))(_ratings(spark, s))
+_SQL["hybrid_switching"] = f"with {_PARTS} select item_id, s score, 'content' \"method\" from con order by 2 desc, 1 limit 10"
+_on("topic_assignment", "embeddings", lambda v: cluster.assign_topics(v, cluster.group_means(v), 0.1))
+_SQL["topic_assignment"] = "with m as (select label, list(x order by i) c from (select label, i, avg(x) x from (select label, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings) group by all) group by label), e as (select e.vec_id, m.label, round(list_cosine_similarity(e.embedding::double[], m.c), 6) s from embeddings e, m) select vec_id, case when s >= 0.1 then label else -1 end::int topic, s similarity from (select *, row_number() over (partition by vec_id order by s desc, label) r from e) where r = 1"
+_docs("vector_providers", lambda d: recommend.vectors_of(d, "tfidf").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total")), _with("select doc_id, count(*) n, round(sum(w), 6) total from v group by 1", "v as (select doc_id, term, x / sqrt(sum(x * x) over (partition by doc_id)) w from (select doc_id, term, (1 + log10(tf)) * log10(n / df) x from p join t using (term), n) where x > 0)"))
