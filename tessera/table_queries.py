@@ -99,17 +99,17 @@ _docs("preprocess_batch", lambda d: d.select("doc_id", F.size(text.lexical("text
 
 # aggregation, windows, sets
 
-_AGG = [F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.grouping_id().cast("int").alias("gid")]
+_AGG = lambda: [F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.grouping_id().cast("int").alias("gid")]
 _AGG_SQL = "count(*) n, round(sum(o_totalprice), 2) total, grouping_id(o_orderstatus, o_orderpriority)::int gid from orders group by"
-_on("rollup_orders", "orders", lambda o: o.rollup("o_orderstatus", "o_orderpriority").agg(*_AGG), f"select o_orderstatus, o_orderpriority, {_AGG_SQL} rollup (o_orderstatus, o_orderpriority)")
-_on("cube_orders", "orders", lambda o: o.cube("o_orderstatus", "o_orderpriority").agg(*_AGG), f"select o_orderstatus, o_orderpriority, {_AGG_SQL} cube (o_orderstatus, o_orderpriority)")
-_on("grouping_sets", "orders", lambda o: o.groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(*_AGG), f"select o_orderstatus, o_orderpriority, {_AGG_SQL} grouping sets ((o_orderstatus), (o_orderpriority), ())")
+_on("rollup_orders", "orders", lambda o: o.rollup("o_orderstatus", "o_orderpriority").agg(*_AGG()), f"select o_orderstatus, o_orderpriority, {_AGG_SQL} rollup (o_orderstatus, o_orderpriority)")
+_on("cube_orders", "orders", lambda o: o.cube("o_orderstatus", "o_orderpriority").agg(*_AGG()), f"select o_orderstatus, o_orderpriority, {_AGG_SQL} cube (o_orderstatus, o_orderpriority)")
+_on("grouping_sets", "orders", lambda o: o.groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(*_AGG()), f"select o_orderstatus, o_orderpriority, {_AGG_SQL} grouping sets ((o_orderstatus), (o_orderpriority), ())")
 _on("distinct_pairs", "orders", lambda o: o.select("o_orderstatus", "o_orderpriority").distinct(), "select distinct o_orderstatus, o_orderpriority from orders")
-_BY = W.partitionBy("o_orderpriority").orderBy(F.desc("o_orderstatus"))
-_ORDER = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-_on("window_ranks", "orders", lambda o: o.select("o_orderkey", F.rank().over(_BY).alias("rank"), F.dense_rank().over(_BY).alias("dense"), F.round(F.percent_rank().over(_BY), 6).alias("pct"), F.round(F.cume_dist().over(_BY), 6).alias("cume")))
+_BY = lambda: W.partitionBy("o_orderpriority").orderBy(F.desc("o_orderstatus"))
+_ORDER = lambda: W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+_on("window_ranks", "orders", lambda o: o.select("o_orderkey", F.rank().over(_BY()).alias("rank"), F.dense_rank().over(_BY()).alias("dense"), F.round(F.percent_rank().over(_BY()), 6).alias("pct"), F.round(F.cume_dist().over(_BY()), 6).alias("cume")))
 _SQL["window_ranks"] = "select o_orderkey, (rank() over w)::int \"rank\", (dense_rank() over w)::int \"dense\", round(percent_rank() over w, 6) pct, round(cume_dist() over w, 6) cume from orders window w as (partition by o_orderpriority order by o_orderstatus desc)"
-_on("window_frames", "orders", lambda o: o.select("o_orderkey", F.lag("o_orderkey").over(_ORDER).alias("before"), F.lead("o_orderkey", 2).over(_ORDER).alias("after"), F.ntile(3).over(_ORDER).alias("third"), F.round(F.avg("o_totalprice").over(_ORDER.rowsBetween(-2, 0)), 4).alias("mean3"), F.first("o_orderkey").over(_ORDER).alias("head")), "select o_orderkey, lag(o_orderkey) over w \"before\", lead(o_orderkey, 2) over w \"after\", (ntile(3) over w)::int third, round(avg(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row), 4) mean3, first(o_orderkey) over w head from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
+_on("window_frames", "orders", lambda o: o.select("o_orderkey", F.lag("o_orderkey").over(_ORDER()).alias("before"), F.lead("o_orderkey", 2).over(_ORDER()).alias("after"), F.ntile(3).over(_ORDER()).alias("third"), F.round(F.avg("o_totalprice").over(_ORDER().rowsBetween(-2, 0)), 4).alias("mean3"), F.first("o_orderkey").over(_ORDER()).alias("head")), "select o_orderkey, lag(o_orderkey) over w \"before\", lead(o_orderkey, 2) over w \"after\", (ntile(3) over w)::int third, round(avg(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row), 4) mean3, first(o_orderkey) over w head from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
 _in = lambda d, lang: d.where(F.col("lang") == lang).select("source")
 _docs("set_intersect", lambda d: _in(d, "fr").intersect(_in(d, "de")), "select source from documents where lang = 'fr' intersect select source from documents where lang = 'de'")
 _docs("set_except", lambda d: d.select("source").where("n_chars > 3000").subtract(_in(d, "de").where("n_chars > 3000")), "select source from documents where n_chars > 3000 except select source from documents where lang = 'de' and n_chars > 3000")
