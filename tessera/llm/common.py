@@ -35,8 +35,7 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; where it is unset, an own one in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        if not in_one_process(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -62,9 +61,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def in_one_process(spark: SparkSession) -> bool:
+    """Whether the driver is the only executor."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no plan holds any more: it does so when the driver's garbage is collected."""
-    spark._jvm.System.gc()
+    """On a cluster, let Spark delete shuffle files that no plan holds any more: it does so when the driver's garbage is collected."""
+    if not in_one_process(spark):
+        spark._jvm.System.gc()
 
 
 def exists(spark: SparkSession, path: str) -> bool:
