@@ -248,10 +248,11 @@ def find_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, bat
         seen = parts[0]
         for part in parts[1:]:
             seen = seen.unionByName(part)
-        seen = seen.distinct()
+        seen = common.save(seen.distinct(), "seen")  # written, so that the join below can split a frequent fingerprint
+        common.remove(spark, *parts)
     common.remove(spark, anchors)
     marked = common.save(own.matched(seen), "marked")
-    common.remove(spark, *([seen] if index is not None else parts))
+    common.remove(spark, seen)
     if index is None:
         own.delete()
     every = docs.select(*identity(), "text", F.lit(True).alias("fresh"))
