@@ -2,7 +2,7 @@
 
 A text is cut after words whose rolling hash (of the last two words) meets a
 mask, so that texts that share a passage share its chunks. A chunk is encoded
-once a worker and kept. Where two chunks meet, the words beside the cut are
+once a task and kept. Where two chunks meet, the words beside the cut are
 encoded together, with what stands between them, and compared with their separate
 ids; chunks whose joins differ are joined and encoded anew by the library, until
 all joins that are left agree.
@@ -15,7 +15,8 @@ plain ones (letters below U+0300, a full stop or comma after them) only its mode
 is called, with the letters as its normalizer and byte-level step would give them,
 if the tokenizer's results for ``PROBES`` are the same that way (``_plain_words``).
 
-The caches are exact (keyed by the bytes) and bounded; a full one is emptied.
+The caches are exact (keyed by the bytes) and bounded; a full one is emptied, and all
+are at a task's end, so that an idle worker holds no texts.
 
 Decoding joins the tokens of the ids by a space where the tokenizer file names
 no decoder, as its library does, and calls the library otherwise.
@@ -44,7 +45,7 @@ from . import common
 #: A cut falls after one word in so many, on average.
 CHUNK_WORDS = 64
 #: Entries of each cache, and the longest word and chunk (in bytes) kept.
-CHUNKS, WORDS, JOINS, LONGEST, LONGEST_CHUNK = 20_000, 400_000, 100_000, 80, 1 << 14
+CHUNKS, WORDS, JOINS, LONGEST, LONGEST_CHUNK = 8_000, 150_000, 50_000, 80, 1 << 13
 # Words of each kind of character, for probing a tokenizer.
 PROBES = ("a", "Word", "it's", "'t", "don't", "x1", "2024", "7", "...", "-", "(a)", "é", "Ünder", "日本", "a_b", "<|", "|>", "\u00a0b", "e\u0301")
 
@@ -197,6 +198,10 @@ class ChunkEncoder:
         self.joins_seen += len(joins)
         return [self.joins[j] for j in joins]
 
+    def forget(self) -> None:
+        for cache in (self.ids, self.decoded, self.stems, self.chunks, self.joins):
+            cache.clear()
+
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text."""
         words = common.Words(texts)
@@ -239,7 +244,7 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder of a file; its caches live as long as the worker."""
+    """This worker's encoder of a file."""
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = ChunkEncoder(path)
@@ -269,6 +274,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 got = e.encode(common.byte_texts(part.column(1)))
                 ids = [np.frombuffer(i, dtype="<u4").astype(np.int64) for i, _ in got]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array([t.decode() for _, t in got], pa.string())], names=["doc_id", "ids", "decoded"])
+        e.forget()
 
     return common.columns_of(docs, "doc_id", "text").transform(common.map_arrow, run, "doc_id long, ids array<long>, decoded string")
 
@@ -286,5 +292,6 @@ def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                     [part.column(0).cast(pa.int64()), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got], pa.string()), pa.array([hashlib.sha256(t).hexdigest() for _, t in got], pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        e.forget()
 
     return common.columns_of(docs, "doc_id", "text").transform(common.map_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
