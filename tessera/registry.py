@@ -276,7 +276,8 @@ _SQL["pr_curve_11pt"] = f"with {_RUN}, {_QRELS}, {_J} select i / 10 \"level\", r
 _BI = "bi as (select a.term a, b.term b, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by all), ctx as (select a, sum(n)::double c from bi group by a), rgt as (select b, sum(n)::double c from bi group by b), u as (select count(*)::double v, sum(cf)::double total from t)"
 for _m, _p in {"laplace": "(n + 1) / (c + v)", "mle": "n / c", "jm": "0.7::double * n / c + (1 - 0.7::double) * (cf / total)", "dirichlet": "(n + 2000.0::double * (cf / total)) / (c + 2000.0)"}.items():
     _docs(f"ngram_{_m}", lambda d, m=_m: nlp.ngram_probability(d, m), _with(f"select a, b, round({_p}, 9) p from bi join ctx using (a) join t on t.term = b, u", _BI))
-_docs("perplexity", lambda d: nlp.perplexity(d, d), _with("select x.doc_id, count(*) tokens, round(pow(2, -avg(log2(0.7::double * n / c + (1 - 0.7::double) * (cf / total)))), 4) perplexity from tok x join tok y on x.doc_id = y.doc_id and y.pos = x.pos + 1 join bi on bi.a = x.term and bi.b = y.term join ctx on ctx.a = bi.a join t on t.term = bi.b, u group by x.doc_id", _BI))
+_PAIRS = ["pr as materialized (select doc_id, w[i] a, w[i + 1] b from (select doc_id, w, unnest(range(1, len(w))) i from w))", "bi as (select a, b, count(*) n from pr group by all)", "ctx as (select a, sum(n)::double c from bi group by a)"]
+_docs("perplexity", lambda d: nlp.perplexity(d, d), _with("select doc_id, sum(m)::bigint tokens, round(pow(2, -sum(m * log2(0.7::double * n / c + (1 - 0.7::double) * (cf / total))) / sum(m)), 4) perplexity from (select doc_id, a, b, count(*) m from pr group by all) join bi using (a, b) join ctx using (a) join t on t.term = b, (select sum(cf)::double total from t) group by doc_id", *_PAIRS))
 _CELLS = [("o11", "n1 * n2 / big"), ("greatest(n1 - o11, 0)", "n1 * (big - n2) / big"), ("greatest(n2 - o11, 0)", "(big - n1) * n2 / big"), ("greatest(big - n1 - n2 + o11, 0)", "(big - n1) * (big - n2) / big")]
 for _m, _p in {
     "pmi": "log2(o11 * big / (n1 * n2))",
