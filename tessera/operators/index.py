@@ -236,10 +236,11 @@ def field_stats(fields: DataFrame) -> DataFrame:
 def manifest(docs: DataFrame, version: str = "1") -> DataFrame:
     """``version, documents, digest``: what an index was built from; a stored index serves while its row equals a new one.
 
-    The digest sums a hash of each row, so the order of rows doesn't matter and nothing is collected.
+    The digest sums a hash of 48 bits of each row modulo 2^63, so the order of rows doesn't matter, nothing is collected and any number of rows fits.
     """
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).cast("binary")), 1, 12), 16, 10).cast("long")
-    return docs.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(h), F.lit(0)).alias("digest")).select(F.lit(version).alias("version"), "documents", "digest")
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).cast("binary")), 1, 12), 16, 10).cast("decimal(20,0)")
+    total = F.sum(h) % F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(total, F.lit(0)).cast("long").alias("digest")).select(F.lit(version).alias("version"), "documents", "digest")
 
 
 def cached(docs: DataFrame, path: str, version: str = "1") -> tuple[DataFrame, DataFrame, bool]:
