@@ -13,3 +13,11 @@ def test_manifest_of_many_rows(spark):
     want = sum(int(hashlib.md5(f"{i}|x".encode()).hexdigest()[:12], 16) for i in range(n))
     assert want >= 2**63
     assert tuple(index.manifest(docs).first()) == ("1", n, want % 2**63)
+
+
+def test_stored_index_of_many_rows(spark, tmp_path):
+    docs = spark.range(140_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    path = f"file://{tmp_path}/index"
+    assert not index.cached(docs, path)[2] and index.cached(docs, path)[2]
+    post, lengths, _ = index.cached(docs, path)
+    assert [r["doc_id"] for r in index.stored_bm25(post, lengths, ["x"]).collect()] == list(range(10))
