@@ -238,11 +238,12 @@ def frequent_lists(docs: DataFrame, least: int) -> DataFrame:
 
 
 def detail(docs: DataFrame, doc_id: int, terms: list[str], k: int = 5) -> DataFrame:
-    """One document's attributes, number of distinct terms, keywords and matched query terms."""
+    """One document's attributes, number of distinct terms, keywords and matched query terms; null where there are none."""
     one = docs.where(F.col("doc_id") == doc_id)
     w = text.lexical("text")
+    joined = lambda a: F.nullif(F.array_join(a, ","), F.lit(""))
     best = tf_keywords(one, k).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("tf")).alias("n"), "term"))), lambda x: x["term"]).alias("k"))
-    return one.select("doc_id", "lang", "source", "n_chars", F.size(F.array_distinct(w)).alias("distinct_terms"), F.array_join(best.scalar(), ",").alias("keywords"), F.array_join(F.array_sort(F.array_intersect(w, F.array(*[F.lit(t) for t in terms]))), ",").alias("matched"))
+    return one.select("doc_id", "lang", "source", "n_chars", F.size(F.array_distinct(w)).alias("distinct_terms"), joined(best.scalar()).alias("keywords"), joined(F.array_sort(F.array_intersect(w, F.array(*[F.lit(t) for t in terms])))).alias("matched"))
 
 
 def generate_greedy(docs: DataFrame, start: str, length: int = 20) -> DataFrame:

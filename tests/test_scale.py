@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from tessera.operators import index
+from tessera.operators import index, nlp
 
 
 def test_manifest_of_many_rows(spark):
@@ -21,3 +21,11 @@ def test_stored_index_of_many_rows(spark, tmp_path):
     assert not index.cached(docs, path)[2] and index.cached(docs, path)[2]
     post, lengths, _ = index.cached(docs, path)
     assert [r["doc_id"] for r in index.stored_bm25(post, lengths, ["x"]).collect()] == list(range(10))
+
+
+def test_detail_without_matches(spark):
+    rows = [(1, "le chat est ici", "fr", "src1", 15), (2, "", "en", "src1", 0), (3, None, None, None, None), (4, "the cat and the dog", "en", "src2", 19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {i: nlp.detail(docs, i, ["the", "and", "of"]).collect() for i in range(1, 6)}
+    assert [(r["distinct_terms"], r["keywords"], r["matched"]) for i in range(1, 5) for r in got[i]] == [(4, "chat,est,ici,le", None), (0, None, None), (0, None, None), (4, "cat,dog", "and,the")]
+    assert got[5] == []
