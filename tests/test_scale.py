@@ -29,3 +29,14 @@ def test_detail_without_matches(spark):
     got = {i: nlp.detail(docs, i, ["the", "and", "of"]).collect() for i in range(1, 6)}
     assert [(r["distinct_terms"], r["keywords"], r["matched"]) for i in range(1, 5) for r in got[i]] == [(4, "chat,est,ici,le", None), (0, None, None), (0, None, None), (4, "cat,dog", "and,the")]
     assert got[5] == []
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rake_shuffles_nothing(spark):
+    docs = spark.createDataFrame([(1, "Deep kelp grows, deep kelp dives. Deep kelp"), (2, None), (3, "the of. and"), (None, "kelp")], "doc_id long, text string")
+    got = nlp.rake(docs)
+    assert "Exchange" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, "deep kelp", 5.333333), (1, "deep kelp dives", 8.333333), (1, "deep kelp grows", 8.333333)]
