@@ -4,7 +4,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from tessera.operators import index, nlp
+from tessera.functions import text as texts
+from tessera.operators import dedup, index, nlp
 
 
 def test_manifest_of_many_rows(spark):
@@ -40,3 +41,29 @@ def test_rake_shuffles_nothing(spark):
     got = nlp.rake(docs)
     assert "Exchange" not in plan(got)
     assert sorted(map(tuple, got.collect())) == [(1, "deep kelp", 5.333333), (1, "deep kelp dives", 8.333333), (1, "deep kelp grows", 8.333333)]
+
+
+def test_greedy_settles_long_chains(spark, monkeypatch):
+    # Each fingerprint is near its neighbours alone, so 70 rounds are needed where 30 were made.
+    n = 70
+    prints = [0]
+    for i in range(n - 1):
+        prints.append(prints[-1] ^ (0b11 << (2 * (i % 31)) if (i // 31) % 2 == 0 else 0b101 << (3 * (i % 20))))
+    kept, near = [], lambda x, y: (x ^ y).bit_count() <= 3
+    for i, h in enumerate(prints):
+        if not any(near(h, prints[j]) for j in kept):
+            kept.append(i)
+    docs = spark.createDataFrame(list(enumerate(prints)), "doc_id long, h long")
+    monkeypatch.setattr(dedup, "fingerprints", lambda d: d)
+    got = dedup.greedy(docs).collect()
+    assert len(got) == n and sorted(r["doc_id"] for r in got if r["kept"]) == kept and all(r["kept"] is not None for r in got)
+
+
+def test_fingerprints_in_slices(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(40)] + [(40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["h"] for r in index.tokens(docs).select("doc_id", texts.simhash(F.col("w")).alias("h")).collect()}
+    monkeypatch.setattr(dedup, "TOKENS", 7)
+    got = dedup.fingerprints(docs)
+    assert {r["doc_id"]: r["h"] for r in got.collect()} == want
+    assert "MapInArrow" in plan(got)
