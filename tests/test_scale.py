@@ -2,10 +2,11 @@
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import text as texts
-from tessera.operators import dedup, index, nlp
+from tessera.operators import dedup, index, nlp, recommend
 
 
 def test_manifest_of_many_rows(spark):
@@ -67,3 +68,28 @@ def test_fingerprints_in_slices(spark, monkeypatch):
     got = dedup.fingerprints(docs)
     assert {r["doc_id"]: r["h"] for r in got.collect()} == want
     assert "MapInArrow" in plan(got)
+
+
+def test_best_unseen_is_exact():
+    rng = np.random.default_rng(5)
+    for n, m, k, step in ((9, 200, 4, 16), (5, 3, 4, 8), (6, 700, 3, 64)):
+        u, v = rng.normal(size=(n, 5)).astype(np.float32), rng.normal(size=(m, 5)).astype(np.float32)
+        v[m // 2 :: 7] = v[0]  # equal items go by id
+        ids = rng.permutation(10 * m)[:m].astype(np.int32)
+        order = np.lexsort((ids, -np.linalg.norm(v, axis=1)))
+        ids, v = ids[order], v[order]
+        seen = [rng.choice(ids, int(rng.integers(0, m)), replace=False).tolist() + [-5] for _ in range(n)]
+        got = list(zip(*(x.tolist() for x in recommend.best_unseen(u, seen, ids, v, k, step)), strict=True))
+        exact = np.round(u.astype(float) @ v.astype(float).T, 4)
+        want = [(i, -s, j) for i in range(n) for s, j in sorted((-exact[i, c], int(ids[c])) for c in range(m) if ids[c] not in set(seen[i]))[:k]]
+        assert [(i, round(s, 4), j) for i, j, s in got] == [(i, round(s, 4), j) for i, s, j in want]
+
+
+def test_factor_lists_of_who_saw_much(spark):
+    # User 0 has rated all but two of 320 items, more than the 200 that were taken from the model besides k.
+    rows = [(u, i, float(1 + (3 * i + u) % 5)) for u in range(6) for i in range(320) if (i not in (7, 300) if u == 0 else i % 4 != u % 4)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    for block in (100, 2_000_000):
+        got = recommend.factor_lists(ratings, 3, block).collect()
+        assert {r["item_id"] for r in got if r["user_id"] == 0} == {7, 300}
+        assert all(sorted(r["rank"] for r in got if r["user_id"] == u) == [1, 2, 3] for u in range(1, 6))
