@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import text as texts
-from tessera.operators import dedup, index, nlp, recommend
+from tessera.operators import cluster, dedup, index, nlp, ranking, recommend
+from tessera.sources import articles
 
 
 def test_manifest_of_many_rows(spark):
@@ -93,3 +94,23 @@ def test_factor_lists_of_who_saw_much(spark):
         got = recommend.factor_lists(ratings, 3, block).collect()
         assert {r["item_id"] for r in got if r["user_id"] == 0} == {7, 300}
         assert all(sorted(r["rank"] for r in got if r["user_id"] == u) == [1, 2, 3] for u in range(1, 6))
+
+
+def test_field_postings_compare_no_structs(spark):
+    docs = spark.createDataFrame([(1, "a b a", "A b", ["x y", "y"]), (2, None, "", None)], "doc_id long, text string, source string, tags array<string>")
+    got = index.field_postings(docs, ["text"], ["source"], ["tags"])
+    assert "array_distinct(flatten(array_compact" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [("source", "a b", 1), ("tags", "x", 1), ("tags", "y", 1), ("text", "a", 1), ("text", "b", 1)]
+    twice = index.field_postings(docs, ["text"], ["text"])
+    assert sorted(map(tuple, twice.collect())) == [("text", "a", 1), ("text", "a b a", 1), ("text", "b", 1)]
+    assert sorted(map(tuple, index.field_stats(got).collect())) == [("source", 1, 1, 1), ("tags", 2, 2, 1), ("text", 2, 2, 1)]
+
+
+def test_grams_without_lambdas(spark):
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "a"), (3, None)], "doc_id long, text string")
+    got = index.grams(docs, 2)
+    assert "lambda" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "b"), (1, "a", "b"), (1, "b", "a")]
+    assert index.grams(docs, 5).count() == 0
+    assert {(*r["ngram"], r["n"]) for r in index.ngram_counts(docs, 3).collect()} == {("a", "b", "a", 1), ("b", "a", "b", 1)}
+    assert "Scan parquet" in plan(nlp.collocations(docs, "t", 1)) and "regexp_extract_all" not in plan(nlp.collocations(docs, "t", 1))
