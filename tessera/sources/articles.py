@@ -87,12 +87,17 @@ def merge(parts: list[DataFrame]) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, folder: str, *, most_per_file: int | None = None, most: int | None = None, schema: str = ARTICLE) -> DataFrame:
-    """All JSONL files of a folder in order of their names; limits count rows with content."""
-    rows = read_jsonl(spark, folder, schema=schema).withColumn("_file", F.input_file_name()).withColumn("_row", F.monotonically_increasing_id())
+    """All JSONL files of a folder in order of their names; limits count rows with content.
+
+    A folder of part files, as Spark writes it, counts as one file, so no task has to write or read it whole.
+    """
+    path = F.col("_metadata.file_path")
+    rows = read_jsonl(spark, folder, schema=schema).select("*", F.regexp_replace(path, "/part-[^/]*$", "").alias("_file"), path.alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    order = ["_path", "_start", "_row"]
     if most_per_file:
-        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_file").orderBy("_row"))).where(F.col("_n") <= most_per_file).drop("_n")
-    rows = rows.orderBy("_file", "_row").limit(most) if most else rows
-    return rows.drop("_file", "_row")
+        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_file").orderBy(*order))).where(F.col("_n") <= most_per_file).drop("_n")
+    rows = rows.orderBy("_file", *order).limit(most) if most else rows
+    return rows.drop("_file", *order)
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:

@@ -37,8 +37,8 @@ def _files(name: str, write, read, sql_: str) -> None:
 
 def _two_files(spark: SparkSession, a: DataFrame, path: str) -> None:
     even = F.col("article_id").cast("long") % 2 == 0
-    articles.write_jsonl(a.where(even).coalesce(1), f"{path}/a")
-    articles.write_jsonl(a.where(~even).coalesce(1), f"{path}/b")
+    articles.write_jsonl(a.where(even), f"{path}/a")
+    articles.write_jsonl(a.where(~even), f"{path}/b")
 
 
 _files("jsonl_scan", lambda s, a, p: articles.write_jsonl(a, p), lambda s, p: articles.read_jsonl(s, p, schema=_JSON).select("article_id", "source", F.md5(F.col("content").cast("binary")).alias("digest")), "select doc_id::varchar article_id, source, md5(text) digest from documents where text <> ''")

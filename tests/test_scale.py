@@ -114,3 +114,15 @@ def test_grams_without_lambdas(spark):
     assert index.grams(docs, 5).count() == 0
     assert {(*r["ngram"], r["n"]) for r in index.ngram_counts(docs, 3).collect()} == {("a", "b", "a", 1), ("b", "a", "b", 1)}
     assert "Scan parquet" in plan(nlp.collocations(docs, "t", 1)) and "regexp_extract_all" not in plan(nlp.collocations(docs, "t", 1))
+
+
+def test_folders_of_part_files(spark, tmp_path):
+    from tessera import table_queries
+
+    docs = spark.range(0, 400, 1, 4).select(F.col("id").cast("string").alias("article_id"), F.lit("x").alias("content"))
+    path = f"file://{tmp_path}/jsonl"
+    table_queries._two_files(spark, docs, path)
+    assert all(len(list((tmp_path / "jsonl" / f).glob("part-*"))) == 4 for f in "ab")
+    got = articles.read_folder(spark, f"{path}/*", most_per_file=70, schema="article_id string, content string").collect()
+    assert sorted(int(r["article_id"]) for r in got) == list(range(140))
+    assert [r["article_id"] for r in articles.read_folder(spark, f"{path}/*", most=3, schema="article_id string, content string").collect()] == ["0", "2", "4"]
