@@ -126,3 +126,19 @@ def test_folders_of_part_files(spark, tmp_path):
     got = articles.read_folder(spark, f"{path}/*", most_per_file=70, schema="article_id string, content string").collect()
     assert sorted(int(r["article_id"]) for r in got) == list(range(140))
     assert [r["article_id"] for r in articles.read_folder(spark, f"{path}/*", most=3, schema="article_id string, content string").collect()] == ["0", "2", "4"]
+
+
+def test_lda_keeps_no_tokens(spark, monkeypatch):
+    import pyspark.ml.feature
+
+    monkeypatch.setattr(pyspark.ml.feature, "CountVectorizer", None)
+    docs = spark.createDataFrame([(i, f"all w{i % 3} w{i % 3} v{i}") for i in range(9)], "doc_id long, text string")
+    model, rows, words = cluster.lda(docs, 2)
+    assert words == ["w0", "w1", "w2"] and rows.count() == 9
+
+
+def test_dense_batch_in_slices(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.integers(-2, 3, size=(120, 3)) + 0.5)], "vec_id long, embedding array<double>")
+    one, many = (sorted(map(tuple, ranking.dense_batch(df, df["vec_id"] % 10 == 0, 5, 4096, step).collect())) for step in (1000, 7))
+    assert one == many and len(one) == 60
