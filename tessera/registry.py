@@ -84,7 +84,7 @@ _docs("field_postings", lambda d: index.field_postings(d.withColumnRenamed("lang
 _docs("prefix_search", lambda d: index.prefix_search(index.term_stats(index.postings(d)), "the"), _with("select term, df, cf from t where starts_with(term, 'the')"))
 _docs("wildcard_expand", lambda d: index.wildcard_expand(index.term_stats(index.postings(d)), "th*in?"), _with("select term, df, cf from t where regexp_full_match(term, 'th.*in.') order by term limit 50"))
 _docs("fuzzy_expand", lambda d: index.fuzzy_expand(index.term_stats(index.postings(d)), "thing", 2), _with("select term, levenshtein('thing', term)::int distance from t where levenshtein('thing', term) <= 2 order by 2, 1 limit 50"))
-_docs("trie_keywords", lambda d: index.keyword_ranking(index.postings(d)), _with("select term, cf, df, round(cf / (select sum(cf) from t)::double * (ln(((select count(distinct doc_id) from p semi join c using (term)) + 1)::double / (df + 1)) + 1), 9) score from c order by score desc, term limit 20", "c as (select * from t where cf >= 2)"))
+_docs("trie_keywords", lambda d: index.keyword_ranking(d), _with("select term, cf, df, round(cf / (select sum(cf) from t)::double * (ln(((select count(distinct doc_id) from p semi join c using (term)) + 1)::double / (df + 1)) + 1), 9) score from c order by score desc, term limit 20", "c as (select * from t where cf >= 2)"))
 _docs("ngrams", lambda d: index.ngram_counts(d, 2).select(F.array_join("ngram", " ").alias("ngram"), "n").where("n >= 3"), _with("select a.term || ' ' || b.term ngram, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by 1 having count(*) >= 3"))
 _PATTERN_SQL = _with(
     "select pattern, n, round(log2(n / tt) - (select sum(log2(cf / tt)) from t where term = x.a) - (select sum(log2(cf / tt)) from t where term = x.b) - coalesce((select sum(log2(cf / tt)) from t where term = x.c), 0), 6) mi from g x, (select sum(cf)::double tt from t) order by mi desc, pattern limit 20",
