@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from tessera.operators import index
+from tessera.sources import scratch
 
 DIGITS = 6
 
@@ -59,10 +61,41 @@ def doc_vectors(docs: DataFrame, scheme: str = "ltc") -> DataFrame:
     return weighted if scheme[2] != "c" else weighted.select("doc_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))).alias("w"))
 
 
-def top_terms(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The k best terms of each document by (1 + log10 tf) * log10(N / df)."""
-    post = index.postings(docs)
-    w = post.join(index.term_stats(post), "term").select("doc_id", "term", F.round((1 + F.log10("tf")) * F.log10(_n(docs) / F.col("df")), DIGITS).alias("w"))
+def top_terms(docs: DataFrame, k: int = 5, most: int = 1 << 18) -> DataFrame:
+    """The k best terms of each document by (1 + log10 tf) * log10(N / df).
+
+    The df of the ``most`` most frequent terms are sent to all tasks. There each of a
+    document's terms has a weight, or bounds by the df that it can have, and only what
+    may be among the k best goes on: the few other terms get their df by a join.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = docs.sparkSession
+    stats = scratch.saved(index.corpus_stats(docs), "terms")
+    known, least = index.most_frequent(stats, most)
+    n = max(docs.count(), 1)
+    sent = spark.sparkContext.broadcast((known.column("term").combine_chunks(), np.append(np.asarray(known.column("df"), dtype=np.int64), 0)))
+
+    def run(ids: pa.Array, w: pa.ListArray) -> pa.RecordBatch:
+        row, code, tf, terms = index.counted(w)
+        names, dfs = sent.value
+        df = dfs[np.asarray(pc.index_in(terms, value_set=names).fill_null(len(names)))][code]  # 0: not known
+        part = 1 + np.log10(tf)
+        low, high = part * np.log10(n / np.where(df > 0, df, max(least - 1, 1))), part * np.log10(n / np.maximum(df, 1))
+        order = np.lexsort((-low, row))
+        first = np.searchsorted(row, np.arange(len(w)))  # rows ascend
+        size = np.diff(np.append(first, len(row)))
+        floor = np.full(len(w), -np.inf)
+        full = size >= k
+        floor[full] = low[order[first[full] + k - 1]]
+        stay = np.flatnonzero(high >= floor[row] - 4 * 10.0**-DIGITS)  # what may be equal after rounding stays
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row[stay])), terms.take(pa.array(code[stay])), pa.array(tf[stay].astype(np.int32)), pa.array(df[stay])], names=["doc_id", "term", "tf", "df"])
+
+    rows = scratch.saved(index.by_part(docs, run, StructType([docs.schema["doc_id"], StructField("term", StringType()), StructField("tf", IntegerType()), StructField("df", LongType())])), "best")
+    others = rows.where("df = 0").drop("df").join(stats.select("term", "df"), "term")
+    w = rows.where("df > 0").unionByName(others).select("doc_id", "term", F.round((1 + F.log10("tf")) * F.log10(_n(docs) / F.col("df")), DIGITS).alias("w"))
     return w.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("w"), "term"))).where(F.col("rank") <= k)
 
 

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import random
 
 import numpy as np
+import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as texts
@@ -170,3 +173,16 @@ def test_keyword_ranking_shuffles_no_postings(spark, monkeypatch):
     want = [("a", 4, 3), ("b", 2, 2), ("f", 2, 1)]
     want = [(t, cf, df, round(cf / 13 * (math.log((n + 1) / (df + 1)) + 1), 9)) for t, cf, df in want]
     assert list(map(tuple, got.collect())) == sorted(want, key=lambda r: (-r[3], r[0]))
+
+
+@pytest.mark.parametrize("most", [1 << 18, 40, 3, 0])
+def test_top_terms_by_any_number_of_known_terms(spark, most, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(120)], k=rng.randrange(60)))) for i in range(150)] + [(7, "w1 w1 zz"), (None, "w3 yy"), (999, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    post = index.postings(docs)
+    w = post.join(index.term_stats(post), "term").select("doc_id", "term", F.round((1 + F.log10("tf")) * F.log10(F.lit(float(len(rows))) / F.col("df")), 6).alias("w"))
+    want = w.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("w"), "term"))).where("rank <= 5")
+    got = ranking.top_terms(docs, most=most)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
