@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import index
-from tessera.operators.keywords import ranked_words
+from tessera.operators.keywords import ranked_each
 from tessera.sources import scratch
 
 DIGITS = 6
@@ -192,8 +192,7 @@ def textrank(docs: DataFrame, k: int = 10, window: int = 5, damping: float = 0.8
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc_id, w in zip(frame["doc_id"], frame["w"], strict=True):
-                ranks = ranked_words(list(w), window, damping, rounds)
+            for doc_id, w, ranks in zip(frame["doc_id"], frame["w"], ranked_each(frame["w"], window, damping, rounds), strict=True):
                 if not ranks:
                     continue
                 terms, rank = np.array(list(ranks), dtype=object).astype(str), np.array(list(ranks.values()))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as texts
-from tessera.operators import cluster, dedup, index, nlp, ranking, recommend
+from tessera.operators import cluster, dedup, index, keywords, nlp, ranking, recommend
 from tessera.sources import articles
 
 
@@ -186,3 +186,31 @@ def test_top_terms_by_any_number_of_known_terms(spark, most, tmp_path):
     want = w.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("w"), "term"))).where("rank <= 5")
     got = ranking.top_terms(docs, most=most)
     assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_textrank_of_many_texts_at_once(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)] + ["the", "of", "x"]
+    every = ["", "kelp", "kelp kelp", "the of", "kelp of kelp urchin", *[" ".join(rng.choices(words, k=rng.randrange(1, 90))) for _ in range(60)]]
+
+    def plain(tokens):  # every edge once for each time it occurs, 50 rounds
+        terms = sorted(set(tokens))
+        m = np.zeros((len(terms), len(terms)))
+        for i, x in enumerate(tokens):
+            for y in tokens[i + 1 : i + 5]:
+                if x != y:
+                    m[terms.index(x), terms.index(y)] += 1
+                    m[terms.index(y), terms.index(x)] += 1
+        degree, rank = m.sum(axis=1), np.full(len(terms), 1 / max(len(terms), 1))
+        for _ in range(50):
+            rank = 0.15 / len(terms) + 0.85 * ((rank / np.where(degree > 0, degree, 1)) @ m + rank[degree == 0].sum() / len(terms))
+        return dict(zip(terms, rank, strict=True))
+
+    lists = [t.split() for t in every]
+    for got, tokens in zip(keywords.ranked_each(lists, most=100), lists, strict=True):
+        want = plain(tokens) if tokens else {}
+        assert list(got) == list(want) and np.allclose(list(got.values()), list(want.values()), rtol=0, atol=1e-12)
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    monkeypatch.setattr(keywords, "CHARACTERS", 300)
+    rows = sorted(map(tuple, keywords.extract(docs, "textrank", 4).collect()))
+    assert rows == [(i, r, p, s) for i, t in enumerate(every) for r, (p, s) in enumerate(keywords.textrank_phrases(t, 4), 1)]
