@@ -96,6 +96,7 @@ class ChunkEncoder:
         self.apart = self._words_apart()
         self.stems = Bounded(WORDS)
         self.token = [(self.tokenizer.id_to_token(i) or "").encode() + b" " if self.plain else b"" for i in range(self.tokenizer.get_vocab_size())]
+        self.packed = [little_endian([i]) for i in range(len(self.token))]
         self.by_model = self.apart and self._plain_words()
 
     def _words_apart(self) -> bool:
@@ -122,7 +123,7 @@ class ChunkEncoder:
         got = self.stems.get(stem)
         if got is None:
             ids = [t.id for t in self.tokenizer.model.tokenize(stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTES))]
-            got = self.stems[stem] = (little_endian(ids), b"".join([self.token[i] for i in ids]))
+            got = self.stems[stem] = (b"".join([self.packed[i] for i in ids]), b"".join([self.token[i] for i in ids]))
         return got
 
     def _plain_words(self) -> bool:
@@ -141,16 +142,19 @@ class ChunkEncoder:
 
     def _know(self, words: set[bytes]) -> None:
         """Encode the words that no cache holds."""
-        known, rest = self.ids, []
+        known, stems, rest = self.ids, self.stems, []
         for w in words:
             if w in known:
                 continue
+            if self.by_model and w.isalpha():  # ASCII letters alone, plain without the expression
+                self.ids[w], self.decoded[w] = stems.get(stem := w.lower().decode()) or self._stem(stem)
+                continue
             m = _PLAIN.fullmatch(w.decode("utf-8", "replace").lower()) if self.by_model else None
             if m is None:
                 rest.append(w)
                 continue
             stem, tail = m.groups()
-            ids, decoded = self._stem(stem)
+            ids, decoded = stems.get(stem) or self._stem(stem)
             if tail:
                 ids, decoded = ids + self.tails[tail][0], decoded + self.tails[tail][1]
             self.ids[w], self.decoded[w] = ids, decoded
