@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera import registry
 from tessera.functions import text as texts
 from tessera.operators import cluster, dedup, index, keywords, nlp, ranking, recommend
 from tessera.sources import articles
@@ -30,6 +32,18 @@ def test_stored_index_of_many_rows(spark, tmp_path):
     assert [r["doc_id"] for r in index.stored_bm25(post, lengths, ["x"]).collect()] == list(range(10))
 
 
+def test_stored_index_query_of_many_rows(spark, tmp_path):
+    # The whole query against its SQL, over more rows than the old digest held.
+    words = F.concat(*[F.repeat(F.lit(f"{w} "), (F.col("id") % n).cast("int")) for w, n in (("The", 7), ("and", 5), ("of", 3), ("kelp", 11))])
+    docs = spark.range(0, 140_000, 1, 8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 999 != 0, words).alias("text"))
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = registry.queries()["stored_index_bm25"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.sql(registry.oracle_sql()["stored_index_bm25"])
+    assert len(want) == 10 and sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_detail_without_matches(spark):
     rows = [(1, "le chat est ici", "fr", "src1", 15), (2, "", "en", "src1", 0), (3, None, None, None, None), (4, "the cat and the dog", "en", "src2", 19)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
